@@ -1,0 +1,12 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/tallyforge-warehouse").getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
