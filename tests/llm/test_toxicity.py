@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -41,7 +42,9 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)] + [(None, 1), (7, None)], "doc_id long, toxic int")
-    docs = spark.createDataFrame([(i, ("good day to all " * 5 + ("vile" if i % 2 == 0 else "")), 1.0) for i in range(400)] + [(None, None, 0.0), (500, "", 0.0), (501, " .. ", 0.0), (502, "vile " * 30000, 0.0), (1, "x", 0.0), (1, "x", 0.0)], "doc_id long, text string, score double")
+    r = random.Random(2)
+    say = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(20))
+    docs = spark.createDataFrame([(i, say() + (" vile" if i % 2 == 0 else ""), 1.0) for i in range(400)] + [(None, None, 0.0), (500, "", 0.0), (501, " .. ", 0.0), (502, "vile " * 30000, 0.0), (1, "x", 0.0), (1, "x", 0.0)], "doc_id long, text string, score double")
     field = T.train(docs, labels)
     got = T.scored(docs, field).collect()
     assert len(got) == docs.count() and all(0 <= g.score <= 1 for g in got)
