@@ -38,18 +38,22 @@ def appended(df: DataFrame, make, fields: str, size: int = 1 << 23) -> DataFrame
     return df.mapInArrow(run, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the session's spark.checkpoint.dir; one is chosen only where
-    it is unset, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; one is chosen only where it is unset,
+    as in tests on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, which cuts its lineage and
+    survives the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocks_for(total: int, size: int) -> int:

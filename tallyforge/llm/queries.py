@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL forms of those SQL can express."""
 
-from tallyforge.llm import bpe, decontaminate, fingerprints, secrets, token_counts, toxicity
+from tallyforge.llm import bpe, decontaminate, fingerprints, language_model, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_decontamination": decontaminate.op2,
     "op4_secrets": secrets.op4,
+    "op5_language_model": language_model.op5,
     "op7_token_counts": token_counts.op7,
     "op8_fingerprints": fingerprints.op8,
     "op9_bpe": bpe.op9,
