@@ -10,11 +10,12 @@ and the sampler keeps the (term, t) of least a.  Two texts keep the same pair
 with the probability of their generalised Jaccard similarity, so the share of
 equal entries estimates it.
 
-Documents are dealt into ranges of descending id, one shuffle of the text in
-all.  In its range a document sees the next one's text through a window; only
-the last of a range looks up the first text of the following range.  Words,
-weights and samples are then aggregated in place, as the range is part of every
-grouping key.
+Documents are dealt into ranges of descending id, with the first document of
+the following range as a guest behind the last, by the only shuffle that moves
+texts.  In its range a document sees the next one's text through a window.
+Words, weights and samples are then aggregated in place, as the range is part
+of every grouping key.  A document's own facts (id, length, digest) go along as
+numbered rows among its words', so nothing has to be joined back.
 """
 
 from __future__ import annotations
@@ -58,50 +59,64 @@ def in_ranges(documents: DataFrame, size: int = RANGE) -> DataFrame:
     is the text of the following one and, for the last, of the first; `far`
     tells that it stands in another range."""
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    low, high, n, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    low, high, n, nulls = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     ranges = max(1, min(-(-n // size), int(n**0.5) + 1))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    null_ranges = max(1, -(-(nulls or 0) // size))
-    own_hash = F.xxhash64("text")
-    rows = rows.withColumn("hash", own_hash).withColumn(
-        "range",
-        F.when(F.col("doc_id").isNull(), F.lit(ranges) + F.floor((F.lit(float(1 << 63)) - F.col("hash").cast("double")) / F.lit(2.0**64) * null_ranges)).otherwise(F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width))).cast("bigint"),
-    )
-    tasks = min(max(1, -(-n // 1500)), 50_000)
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("hash").desc())
-    dealt = rows.repartition(tasks, "range")
-    placed = dealt.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    # The first document of each range, found from ids alone; there are as many as ranges.
-    ids = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
-    follow = Window.orderBy(F.col("range"))
-    around = heads.select("range", "head", F.first("head").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"), F.lead("head").over(follow).alias("after"))
-    wanted = around.select(F.col("range"), F.coalesce("after", "top").alias("want")).select("range", F.col("want.doc_id").alias("want_id"), F.col("want.hash").alias("want_hash"))
-    texts = ids.withColumn("hash", own_hash).join(F.broadcast(wanted) if ranges + null_ranges <= 20_000 else wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("hash") == F.col("want_hash")))
-    edges = texts.groupBy("range").agg(F.first("text").alias("edge"))
-    return placed.join(edges, "range", "left").select(
-        "range", "place", "doc_id", "text", F.coalesce("next", "edge", "text").alias("next"), F.col("next").isNull().alias("far")
-    )
-
-
-def signatures(rows: DataFrame, columns: list[Column], keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, side, sketch (array of `samples` longs) of several text columns of
-    each row, side counting the columns.  A text without words has no row."""
-    lists = [words(c) for c in columns]
-    held = rows.select(*keys, *[x.alias(f"__w{i}") for i, x in enumerate(lists)])
-    ends, total = [], F.lit(0)
-    for i in range(len(columns)):
-        total = total + F.greatest(F.size(f"__w{i}"), F.lit(0))
-        ends.append(total.alias(f"__e{i}"))
-    flat = held.select(*keys, *ends, F.posexplode(F.concat(*[F.coalesce(F.col(f"__w{i}"), F.expr("cast(array() as array<string>)")) for i in range(len(columns))])).alias("__at", "__word"))
-    side = F.lit(len(columns) - 1)
-    for i in range(len(columns) - 2, -1, -1):
-        side = F.when(F.col("__at") < F.col(f"__e{i}"), i).otherwise(side)
-    terms = flat.where(F.col("__word") != "").select(*keys, side.alias("side"), F.xxhash64("__word").alias("term"))
-    weighed = terms.groupBy(*keys, "side", "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("lw"))
-    least = weighed.groupBy(*keys, "side").agg(*[F.min(sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)])
+    null_ranges = max(1, -(-nulls // size))
+    place = F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width)).cast("bigint")
+    if nulls:
+        by_hash = F.floor((F.lit(float(1 << 63)) - F.xxhash64("text").cast("double")) / F.lit(2.0**64) * null_ranges)
+        place = F.when(F.col("doc_id").isNull(), F.lit(ranges) + by_hash).otherwise(place).cast("bigint")
+    rows = rows.withColumn("range", place)
+    # The first document of each range; there are as many as ranges, about the root of the documents at most.
+    head_hash = F.max(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))) if nulls else F.lit(None).cast("bigint")
+    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"), head_hash.alias("head_hash"))
+    order = Window.orderBy("range")
+    head = F.struct("head", "head_hash")
+    wanted = heads.select("range", F.coalesce(F.lead(head).over(order), F.first(head).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("w"))
+    wanted = wanted.select(F.col("range").alias("guest_of"), F.col("w.head").alias("want"), F.col("w.head_hash").alias("want_hash"))
+    own = F.xxhash64("text")
+    meets = F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("doc_id").isNotNull() | (own == F.col("want_hash"))) if nulls else F.col("doc_id") == F.col("want")
+    guests = rows.join(F.broadcast(wanted) if ranges + null_ranges <= 20_000 else wanted, meets).groupBy("guest_of").agg(F.max_by("text", own).alias("text"))
+    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("guest_of").alias("range"), F.lit(True).alias("guest")))
+    dealt = dealt.repartition(min(max(1, -(-n // 1500)), 50_000), "range")
+    along = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), own.desc())
+    placed = dealt.withColumns({"place": F.row_number().over(along), "next": F.lead("text").over(along), "far": F.lead("guest").over(along)})
+    return placed.where("not guest").select("range", "place", "doc_id", "text", "next", "far")
+
+
+#: Numbers of a document's rows: 0 to 2 are the words of its text, of the edited
+#: and of the following one; then come id, length and the digest's 8 parts.
+FACTS = 3
+
+
+def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(range, place, doc_id, n_chars, edited_sha256, sketch, edited_sketch, beyond_sketch)
+    from the result of in_ranges(); beyond_sketch is the following text's where it is `far`.
+    Sketches of texts without words are null."""
+    change = edited(F.col("text"), F.col("next"))
+    sha = F.sha2("__e", 256)
+    none = F.expr("cast(array() as array<string>)")
+    facts = F.array(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length("text").cast("string"), *[F.substring("__sha", 8 * i + 1, 8) for i in range(8)])
+    held = rows.withColumn("__e", change).withColumn("__sha", sha)
+    held = held.select("range", "place", words(F.col("text")).alias("__w0"), words(F.col("__e")).alias("__w1"), F.when(F.col("far"), words(F.col("next"))).otherwise(none).alias("__w2"), facts.alias("__f"))
+    held = held.select("*", F.size("__w0").alias("__a"), (F.size("__w0") + F.size("__w1")).alias("__b"), (F.size("__w0") + F.size("__w1") + F.size("__w2")).alias("__c"))
+    flat = held.select("range", "place", "__a", "__b", "__c", F.posexplode(F.concat("__w0", "__w1", "__w2", "__f")).alias("__at", "__word")).where("__word <> ''")
+    number = F.when(F.col("__at") < F.col("__a"), 0).when(F.col("__at") < F.col("__b"), 1).when(F.col("__at") < F.col("__c"), 2).otherwise(F.col("__at") - F.col("__c") + FACTS)
+    fact = F.when(F.col("__at") < F.col("__c") + 2, F.col("__word").cast("bigint")).otherwise(F.conv("__word", 16, 10).cast("bigint"))
+    terms = flat.select("range", (F.col("place") * 16 + number).alias("row"), F.when(F.col("__at") < F.col("__c"), F.xxhash64("__word")).otherwise(fact).alias("term"))
+    weighed = terms.groupBy("range", "row", "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("lw"))
+    least = weighed.groupBy("range", "row").agg(F.min("term").alias("fact"), *[F.min(sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)])
     low = F.lit(0xFFFFFFFF).cast("bigint")
-    return least.select(*keys, "side", F.array(*[F.col(f"s{k}").bitwiseAND(low) for k in range(samples)]).alias("sketch"))
+    tall = least.select("range", F.shiftright("row", 4).alias("place"), F.col("row").bitwiseAND(15).alias("number"), "fact", F.array(*[F.col(f"s{k}").bitwiseAND(low) for k in range(samples)]).alias("sketch"))
+    pick = lambda column, i: F.first(F.when(F.col("number") == i, F.col(column)), ignorenulls=True)
+    wide = tall.groupBy("range", "place").agg(
+        pick("fact", FACTS).alias("doc_id"), pick("fact", FACTS + 1).alias("n_chars"),
+        *[pick("fact", FACTS + 2 + i).alias(f"__{i}") for i in range(8)],
+        *[pick("sketch", i).alias(n) for i, n in enumerate(("sketch", "edited_sketch", "beyond_sketch"))],
+    )
+    digest = F.concat(*[F.lpad(F.lower(F.hex(f"__{i}")), 8, "0") for i in range(8)])
+    return wide.select("range", "place", "doc_id", "n_chars", digest.alias("edited_sha256"), "sketch", "edited_sketch", "beyond_sketch")
 
 
 def hexed(sketch: Column) -> Column:
@@ -120,32 +135,26 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, text, n_chars, edited, sketch, edited_sketch, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, sketch, edited_sketch, near_edited, near_next.
 
     Null counts as the empty text.  A text without words has a sketch of
     zeros, which is like another such sketch and no other.  Rows with equal or
     null ids stay rows of their own; see in_ranges() for their order.  A single
-    document is its own next.  Columns other than doc_id and text are ignored.
+    document is its own next.  Columns other than doc_id (an integer) and text
+    are ignored.
     """
-    rows = in_ranges(documents)
-    keys = ["range", "place"]
-    # the following text's own words are only needed where its row is in another range
-    sides = signatures(rows.select("range", "place", "text", edited(F.col("text"), F.col("next")).alias("edited"), F.when(F.col("far"), F.col("next")).alias("beyond")), [F.col("text"), F.col("edited"), F.col("beyond")], keys, samples)
-    one = sides.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == i, F.col("sketch")), ignorenulls=True).alias(n) for i, n in enumerate(("sketch", "edited_sketch", "beyond_sketch"))])
-    info = rows.select("range", "place", "doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), edited(F.col("text"), F.col("next")).alias("edited"), "far")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     none = F.expr(f"cast(array_repeat(0, {samples}) as array<bigint>)")
-    full = info.join(one, keys, "left").withColumns({n: F.coalesce(n, none) for n in ("sketch", "edited_sketch", "beyond_sketch")})
+    full = signatures(in_ranges(rows), samples).withColumn("far", F.lead("place").over(Window.partitionBy("range").orderBy("place")).isNull())
+    full = full.withColumns({n: F.coalesce(n, none) for n in ("sketch", "edited_sketch", "beyond_sketch")})
     follow = F.when(F.col("far"), F.col("beyond_sketch")).otherwise(F.lead("sketch").over(Window.partitionBy("range").orderBy("place")))
     full = full.withColumn("next_sketch", follow)
-    return full.select("doc_id", "text", "n_chars", "edited", "sketch", "edited_sketch", likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    return full.select("doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hexed(F.col("sketch")).alias("fingerprint"),
-        hexed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
-    )
+    return out.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("sketch")).alias("fingerprint"), hexed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def brute(text: str, samples: int = SAMPLES) -> list[int]:
