@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyforge.plans import classify
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {**classify.Q}
+ORACLE: dict[str, str] = {**classify.SQL}
