@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import classify
+from tallyforge.plans import analyse, classify
 
-QUERIES: dict = {**classify.Q}
-ORACLE: dict[str, str] = {**classify.SQL}
+QUERIES: dict = {**classify.Q, **analyse.Q}
+ORACLE: dict[str, str] = {**classify.SQL, **analyse.SQL}
