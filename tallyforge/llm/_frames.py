@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tallyforge.llm._text import slices
+from tallyforge.operators.graph import written  # noqa: F401  the operators' lineage cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,23 +37,5 @@ def appended(df: DataFrame, make, fields: str, size: int = 1 << 23) -> DataFrame
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one is chosen only where it is unset,
-    as in tests on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, which cuts its lineage and
-    survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def blocks_for(total: int, size: int) -> int:
     return max(1, -(-int(total) // size))

@@ -27,6 +27,8 @@ from tallyforge.llm import _text as X
 from tallyforge.llm._frames import appended, blocks_for, table
 
 WINDOW = 8
+#: Items from which op2 calls a document contaminated; decontaminate() removes
+#: documents that hold any.
 MIN_ITEMS = 2
 BLOCK_BYTES = 8 << 20
 
@@ -225,7 +227,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     return appended(documents, make, RESULT)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, **options) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 1, **options) -> DataFrame:
     """The rows of `documents` that hold windows of fewer than `min_items` items."""
     names = documents.columns
     marked = contamination(documents.withColumns({f"__kept_{k}": documents[c] for k, c in enumerate(names)}), benchmark, **options)

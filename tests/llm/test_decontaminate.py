@@ -30,4 +30,5 @@ def test_longest_and_removal(spark):
     assert (got[1].longest, got[1].longest_at, got[1].longest_item, got[1]["items"]) == (12, 1, "5", ["5", "6"])
     left = D.decontaminate(df, bench)
     assert left.columns == df.columns and [r.doc_id for r in left.collect()] == [2]
+    assert D.decontaminate(df, bench.where("item_id = 5")).count() == 1 and D.decontaminate(df, bench, min_items=3).count() == 2
     assert D.decontaminate(df, bench.limit(0)).count() == 2 and D.contamination(df.limit(0), bench).count() == 0
