@@ -9,4 +9,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/tallyforge-warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tallyforge.session import ship
+
+    ship(s)
     yield s
