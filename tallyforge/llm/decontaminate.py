@@ -230,7 +230,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 1, **options) -> DataFrame:
     """The rows of `documents` that hold windows of fewer than `min_items` items."""
     names = documents.columns
-    marked = contamination(documents.withColumns({f"__kept_{k}": documents[c] for k, c in enumerate(names)}), benchmark, **options)
+    text = options.pop("text", "text")
+    held = documents.select(*[F.col(f"`{c}`").alias(f"__kept_{k}") for k, c in enumerate(names)], F.col(f"`{text}`").alias("text"))
+    marked = contamination(held, benchmark, **options)
     return marked.where(F.col("n_items") < min_items).select(*[F.col(f"__kept_{k}").alias(c) for k, c in enumerate(names)])
 
 

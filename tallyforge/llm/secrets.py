@@ -100,14 +100,15 @@ def scan(documents: DataFrame, text: str = "text", allow: str = ALLOW) -> DataFr
     replaced.
     """
     names = [c for c in documents.columns if c.lower() not in ("base_spans", "secret_spans")]
-    t = F.coalesce(F.col(text), F.lit(""))
-    inner = documents.select(*names, t.alias("__text"))
+    # own columns go under numbers, so that none can be taken for one made here
+    held = {c: f"__k{i}" for i, c in enumerate(names)}
+    inner = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     column = F.col("__text")
     assign = F.when(column.rlike(KEYWORDS), _placed(column, ASSIGN, 0, group=2, least=8)).otherwise(F.expr(f"cast(array() as {SPAN})"))
     with_base = inner.withColumn("base_spans", F.array_sort(F.concat(assign, _placed(column, ACCESS, 1), _placed(column, HEX, 2))))
     with_candidates = with_base.withColumn("__cand", _placed(column, CANDIDATE, 3))
     out = with_candidates.withColumn("secret_spans", F.array_sort(F.concat("base_spans", _entropy("__text", "base_spans", allow).cast(SPAN))))
-    return out.select(*names, "base_spans", "secret_spans")
+    return out.select(*[F.col(k).alias(c) for c, k in held.items()], "base_spans", "secret_spans")
 
 
 def joined(spans: str) -> Column:
@@ -120,18 +121,25 @@ def redact(documents: DataFrame, text: str = "text", mask: str = MASK, allow: st
     """`documents` with each stretch of secret characters of `text` replaced by
     `mask`, and n_chars, if there is such a column, brought up to date.  Rows
     without secrets, null texts among them, stay as they are."""
-    found = scan(documents, text, allow)
-    q = f"`{text}`"
+    names = documents.columns
+    held = documents.select(*[F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"))
+    found = scan(held, "text", allow)
     new = F.expr(
-        f"case when size(secret_spans) = 0 then {q} else aggregate(secret_spans, named_struct('at', cast(0 as bigint), 'out', ''), (acc, s) -> named_struct("
-        f"'at', greatest(acc.at, s.end), 'out', concat(acc.out, substring({q}, cast(acc.at as int) + 1, cast(greatest(s.start - acc.at, 0L) as int)), if(s.start >= acc.at, '{mask}', ''))), "
-        f"acc -> concat(acc.out, substring({q}, cast(acc.at as int) + 1))) end"
+        "case when size(secret_spans) = 0 then text else aggregate(secret_spans, named_struct('at', cast(0 as bigint), 'out', ''), (acc, s) -> named_struct("
+        f"'at', greatest(acc.at, s.end), 'out', concat(acc.out, substring(text, cast(acc.at as int) + 1, cast(greatest(s.start - acc.at, 0L) as int)), if(s.start >= acc.at, '{mask}', ''))), "
+        "acc -> concat(acc.out, substring(text, cast(acc.at as int) + 1))) end"
     )
-    out = found.withColumn(text, new)
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(kind))
-    return out.select(*documents.columns)
+    out = found.withColumn("__new", new)
+    changed = F.size("secret_spans") > 0
+    columns = []
+    for i, f in enumerate(documents.schema.fields):
+        own = F.col(f"__own{i}")
+        if f.name == text:
+            own = F.col("__new")
+        elif f.name == "n_chars":
+            own = F.when(changed, F.length("__new").cast(f.dataType)).otherwise(own)
+        columns.append(own.alias(f.name))
+    return out.select(*columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
