@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most, which bounds the buffers on both sides of the
+#: pipe to a Python worker; texts have a few kilobytes on average.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows for an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def appended(df: DataFrame, make, fields: str, size: int = 1 << 23) -> DataFrame:
     """`df` plus result columns made batch by batch on the executors.
 
@@ -22,6 +34,7 @@ def appended(df: DataFrame, make, fields: str, size: int = 1 << 23) -> DataFrame
     input column whose name equals a result's (letter case aside) gives way to
     the result.  Batches are cut to about `size` bytes first.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     taken = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text as X
-from tallyforge.llm._frames import blocks_for, table, written
+from tallyforge.llm._frames import blocks_for, small_batches, table, written
 
 FOLDS, HELD = 7, 2
 ORDER = 3
@@ -253,6 +253,7 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
     Columns other than doc_id and text are ignored.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = _bucketed(documents, bucket, train)
     gathered = rows.select("bucket", "train", "text").mapInArrow(_gathered(share, order), "bucket int, kind int, hash long, n long, words array<long>")
     same = Window.partitionBy("kind", "hash")
