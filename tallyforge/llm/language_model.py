@@ -12,9 +12,11 @@ of (text bucket, word) rows: a bucket asks for the counts of its own words
 only, so no task and no broadcast holds the vocabulary.  An n-gram of two or
 three words is a state's arc if its share of the training tokens is at least
 `share`; at most 1 / share n-grams of a length can be, whatever the corpus, so
-these arcs can be broadcast.  They are found exactly: an n-gram of that share
-in the corpus has it in some bucket too, so the buckets' own frequent n-grams
-hold all candidates, whose counts are then taken over all texts.
+these arcs can be broadcast.  They are found exactly: a batch passes on the
+n-grams that have half that share of its own tokens, so the counts passed on
+fall short of an n-gram's true count by less than half the share of all tokens.
+Those whose counts still reach half the share, 2 / share of a length at most,
+are the candidates that are then counted over all texts.
 
 A word's lowest-order probability is (c + 1) / (N + V + 1); higher orders use
 absolute discounting interpolated with the order below.
@@ -158,10 +160,6 @@ def gram_hash(words: tuple[int, ...]) -> int:
     return int(h[0])
 
 
-def _counts(values: np.ndarray):
-    return np.unique(values, return_counts=True)
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(X.U64).view(np.int64)
 
@@ -184,8 +182,8 @@ OPEN = 64
 
 def _gathered(share: float, order: int):
     """Arrow function of a task: the distinct words of each bucket with their
-    training counts (kind 1), and the task's batches' frequent n-grams (kind 2,
-    3, ..) with their words, last word first."""
+    training counts (kind 1), and the n-grams of half the share in a batch
+    (kind 2, 3, ..) with their words, last word first."""
 
     def out(bucket, kind, hashes, counts, w=None):
         n = len(hashes)
@@ -226,7 +224,7 @@ def _gathered(share: float, order: int):
                 g = grams(words, first, n)
                 here = np.flatnonzero(marked & (g != 0))
                 value, where, number = np.unique(g[here], return_index=True, return_counts=True)
-                often = number >= max(1.0, share * total)
+                often = number >= max(1.0, share / 2 * total)
                 value, where, number = value[often], here[where[often]], number[often]
                 w = np.stack([np.where(place[where] - k >= 0, words[np.maximum(where - k, 0)], END) for k in range(n)], 1)
                 yield out(0, n, value, number, w)
@@ -262,7 +260,7 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
     words = gathered.where("kind = 1")
     totals = words.where("lead").select("hash", "total")
     n_train, v_train = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-    candidates = gathered.where("kind > 1 and lead").select("kind", "hash", "words")
+    candidates = gathered.where(F.expr("kind > 1 and lead") & (F.col("total") >= share / 2 * n_train)).select("kind", "hash", "words")
     found = _frequent(rows, candidates, n_train, order, share)
     used = sorted({w for t in found for g in t for w in g})
     known = {}
@@ -303,21 +301,15 @@ def _one_signed(x: int) -> int:
 def _frequent(rows: DataFrame, candidates: DataFrame, n_train: int, order: int, share: float) -> list[dict]:
     """{n-gram: count} for each order from 2, of n-grams whose share is at least `share`.
 
-    Candidates are counted over all texts.  Of an order there are at most
-    1 / share results; candidates are broadcast while they are as few as 40
-    times that, otherwise the buckets' own n-grams are counted by a shuffle.
+    `candidates` has 2 / share rows of an order at most, which every task counts.
     """
     spark = rows.sparkSession
     least = share * n_train
-    limit = int(40 * (order - 1) / share)
-    few = candidates.select("kind", "hash").limit(limit + 1).count() <= limit
-    keep = None
-    if few:
-        got = candidates.select("kind", "hash").toPandas()
-        keep = spark.sparkContext.broadcast({n: np.sort(got["hash"].to_numpy()[got["kind"].to_numpy() == n].view(X.U64)) for n in range(2, order + 1)})
+    got = candidates.select("kind", "hash").toPandas()
+    keep = spark.sparkContext.broadcast({n: np.sort(got["hash"].to_numpy()[got["kind"].to_numpy() == n].view(X.U64)) for n in range(2, order + 1)})
 
     def count(batches):
-        held: dict = {n: np.zeros(len(keep.value[n]), np.int64) for n in range(2, order + 1)} if keep else {}
+        held: dict = {n: np.zeros(len(keep.value[n]), np.int64) for n in range(2, order + 1)}
         bits = {}
         for n in held:
             bits[n] = np.zeros(1 << 20, bool)
@@ -325,13 +317,8 @@ def _frequent(rows: DataFrame, candidates: DataFrame, n_train: int, order: int,
         for batch in X.slices(batches):
             words, first = tokens(batch.column(0))
             for n in range(2, order + 1):
-                g = grams(words, first, n)
-                if keep:
-                    at, where = Automaton.find(keep.value[n], bits[n], g)
-                    held[n] += np.bincount(where, minlength=len(held[n]))
-                else:
-                    value, number = _counts(g[g != 0])
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(value), n, np.int32)), "hash": pa.array(_signed(value)), "n": pa.array(number.astype(np.int64))})
+                at, where = Automaton.find(keep.value[n], bits[n], grams(words, first, n))
+                held[n] += np.bincount(where, minlength=len(held[n]))
         for n, number in held.items():
             at = np.flatnonzero(number)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), n, np.int32)), "hash": pa.array(_signed(keep.value[n][at])), "n": pa.array(number[at])})
