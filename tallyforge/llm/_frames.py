@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm._text import slices
@@ -52,3 +53,46 @@ def appended(df: DataFrame, make, fields: str, size: int = 1 << 23) -> DataFrame
 
 def blocks_for(total: int, size: int) -> int:
     return max(1, -(-int(total) // size))
+
+
+#: Quantiles of the ids that cells() can cut at.
+CUTS = 1024
+
+
+def quantiles() -> Column:
+    """Aggregate: CUTS + 1 approximate quantiles of doc_id, the least and the greatest among them."""
+    return F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10 * CUTS)
+
+
+def cells(cuts: list[int] | None, n: int) -> tuple[Column, int, bool]:
+    """(cell, cells, split): a number from 0, ascending with doc_id, for parts of about equal rows.
+
+    Ids are cut at quantiles, and each part at equal widths where `n` asks for
+    more, so sparse or clustered ids are dealt out evenly.  An id that holds
+    whole parts is split by a hash of `text`, ascending too; `split` tells that
+    there is one.  The cell of a null id is null.
+    """
+    if not cuts:
+        return F.lit(None).cast("bigint"), 1, False
+    m = 1 << (max(1, min(n, CUTS)).bit_length() - 1)
+    inside = -(-n // m)
+    low = [int(x) for x in cuts[:: CUTS // m]]
+    width = [max(1, -(-(b - a + 1) // inside)) for a, b in zip(low, low[1:])]
+    run = []  # how many cuts up to this one are equal to it
+    for i in range(m):
+        run.append(run[-1] + 1 if i and low[i] == low[i - 1] else 1)
+    array = lambda xs, kind: f"array({', '.join(map(kind, xs))})"
+    lows, whole = array(low[:m], "cast('{}' as bigint)".format), "cast({} as bigint)".format
+    bits = m.bit_length() - 1
+    step = f"k + shiftleft(1, {bits} - j)"
+    part = F.expr(f"aggregate(sequence(1, {bits}), 0, (k, j) -> if(doc_id >= element_at({lows}, {step} + 1), {step}, k))") if bits else F.lit(0)
+    at = part.cast("bigint")
+    pick = lambda xs, kind: F.element_at(F.expr(array(xs, kind)), (at + 1).cast("int"))
+    first, equal = pick(low[:m], "cast('{}' as bigint)".format), pick(run, whole)
+    fine = F.least(F.lit(inside - 1).cast("double"), F.floor((F.col("doc_id").cast("double") - first.cast("double")) / pick(width, "cast('{}' as double)".format)))
+    plain = at * inside + F.greatest(F.lit(0.0), fine).cast("bigint")
+    if max(run) == 1:
+        return F.when(F.col("doc_id").isNotNull(), plain), m * inside, False
+    share = (F.xxhash64("text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    spread = (at - equal + 1) * inside + F.least(F.floor(share * ((equal - 1) * inside)), (equal - 1) * inside - 1)
+    return F.when(F.col("doc_id").isNotNull(), F.when((F.col("doc_id") == first) & (equal > 1), spread).otherwise(plain)), m * inside, True

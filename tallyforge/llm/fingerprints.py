@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm._frames import table
+from tallyforge.llm._frames import cells, quantiles, table
 
 SAMPLES = 16
 #: Documents in a range, at least.
@@ -59,24 +59,21 @@ def in_ranges(documents: DataFrame, size: int = RANGE) -> DataFrame:
     is the text of the following one and, for the last, of the first; `far`
     tells that it stands in another range."""
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    low, high, n, nulls = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
-    ranges = max(1, min(-(-n // size), int(n**0.5) + 1))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    n, nulls, cuts = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), quantiles()).first()
+    cell, ranges, split = cells(cuts, max(1, min(-(-n // size), int(n**0.5) + 1)))
     null_ranges = max(1, -(-nulls // size))
-    place = F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width)).cast("bigint")
+    own = F.xxhash64("text")
+    place = F.lit(ranges - 1) - cell
     if nulls:
-        by_hash = F.floor((F.lit(float(1 << 63)) - F.xxhash64("text").cast("double")) / F.lit(2.0**64) * null_ranges)
-        place = F.when(F.col("doc_id").isNull(), F.lit(ranges) + by_hash).otherwise(place).cast("bigint")
-    rows = rows.withColumn("range", place)
+        by_hash = F.floor((F.lit(float(1 << 63)) - own.cast("double")) / F.lit(2.0**64) * null_ranges)
+        place = F.when(F.col("doc_id").isNull(), F.lit(ranges) + F.least(by_hash, F.lit(null_ranges - 1))).otherwise(place)
+    rows = rows.withColumn("range", place.cast("bigint"))
     # The first document of each range; there are as many as ranges, about the root of the documents at most.
-    head_hash = F.max(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))) if nulls else F.lit(None).cast("bigint")
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"), head_hash.alias("head_hash"))
+    by_text = split or nulls > 0
+    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", (own if by_text else F.lit(None).cast("bigint")).alias("hash"))).alias("w"))
     order = Window.orderBy("range")
-    head = F.struct("head", "head_hash")
-    wanted = heads.select("range", F.coalesce(F.lead(head).over(order), F.first(head).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("w"))
-    wanted = wanted.select(F.col("range").alias("guest_of"), F.col("w.head").alias("want"), F.col("w.head_hash").alias("want_hash"))
-    own = F.xxhash64("text")
-    meets = F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("doc_id").isNotNull() | (own == F.col("want_hash"))) if nulls else F.col("doc_id") == F.col("want")
+    wanted = heads.select(F.col("range").alias("guest_of"), F.coalesce(F.lead("w").over(order), F.first("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("w"))
+    meets = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (own == F.col("w.hash")) if by_text else F.col("doc_id") == F.col("w.doc_id")
     guests = rows.join(F.broadcast(wanted) if ranges + null_ranges <= 20_000 else wanted, meets).groupBy("guest_of").agg(F.max_by("text", own).alias("text"))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("guest_of").alias("range"), F.lit(True).alias("guest")))
     dealt = dealt.repartition(min(max(1, -(-n // 1500)), 50_000), "range")

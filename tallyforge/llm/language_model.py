@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text as X
-from tallyforge.llm._frames import blocks_for, small_batches, table, written
+from tallyforge.llm._frames import blocks_for, cells, quantiles, small_batches, table, written
 
 FOLDS, HELD = 7, 2
 ORDER = 3
@@ -165,14 +165,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _bucketed(documents: DataFrame, bucket: int, train: Column | None) -> DataFrame:
-    """Documents with a bucket of about `bucket` bytes: ranges of ids, as
-    neighbouring ids often stand in one file, and of hashes without an id."""
+    """Documents with a bucket of about `bucket` bytes: neighbouring ids, which
+    often stand in one file, and hashes of texts without an id."""
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total, low, high = rows.agg(F.sum(F.octet_length("text") + F.lit(64)), F.min("doc_id"), F.max("doc_id")).first()
+    total, cuts = rows.agg(F.sum(F.octet_length("text") + F.lit(64)), quantiles()).first()
     n = blocks_for(total or 0, bucket)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // n))
+    cell, _, _ = cells(cuts, n)
     mark = ~held_out(F.col("doc_id")) if train is None else train
-    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)))
+    place = F.coalesce(cell, F.pmod(F.xxhash64("text"), F.lit(n)))
     return rows.select(place.cast("int").alias("bucket"), "doc_id", mark.alias("train"), "text")
 
 
