@@ -38,6 +38,8 @@ SHARE = 2e-5
 DISCOUNT = 0.5
 #: Bytes of text in a bucket, about.
 BUCKET = 12 << 20
+#: Bytes of text that are scored at a time.
+SCORED = 2 << 20
 #: The end of a text, which is also the state before its first word.
 END = X.U64(0x51ED270B7A3F00D5)
 
@@ -275,20 +277,21 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value
-        w, first = tokens(left.column("text"))
         keys = right.column("hash").to_numpy().view(X.U64)
-        total = right.column("total").to_numpy()
         at = np.argsort(keys)
-        count = total[at][np.searchsorted(keys[at], w)] if len(w) else np.zeros(0, np.int64)
-        base = np.log10((count + 1) / (model.n_train + model.v_train + 1))
-        weight = model.automaton.weights(w, first, base)
-        begin = first[:-1]
-        add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-        n = len(begin)
-        return pa.table({
-            "doc_id": left.column("doc_id"), "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_known": pa.array(add((count > 0).astype(np.int64)).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, model.n_train, np.int64)), "base_score": pa.array(add(base).astype(float)), "score": pa.array(add(weight).astype(float)),
-        })
+        keys, total = keys[at], right.column("total").to_numpy()[at]
+        out = []
+        for batch in X.slices(left.to_batches(), size=SCORED):
+            w, first = tokens(batch.column("text"))
+            count = total[np.searchsorted(keys, w)]
+            base = np.log10((count + 1) / (model.n_train + model.v_train + 1))
+            weight = model.automaton.weights(w, first, base)
+            add = lambda x: np.add.reduceat(x, first[:-1])
+            out.append(pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_known": pa.array(add((count > 0).astype(np.int64)).astype(np.int64)),
+                "train_tokens": pa.array(np.full(batch.num_rows, model.n_train, np.int64)), "base_score": pa.array(add(base).astype(float)), "score": pa.array(add(weight).astype(float)),
+            }))
+        return pa.Table.from_batches(out)
 
     kind = dict(documents.dtypes)["doc_id"]
     return rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
