@@ -246,7 +246,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The longest match isn't in the SQL form; its columns are compared by the brute-force test.
+#: For a benchmark whose ids occur once.
+SQL2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+c AS (SELECT item, w, least({WINDOW}, len(w)) AS n, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item, n, k, array_to_string(w[k : k + n - 1], ' ') AS g FROM c),
+e AS (SELECT d.r, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) s WHERE len(d.w) >= s.n),
+h AS (SELECT e.r, e.n, e.p, i.item, i.k FROM e JOIN i ON e.n = i.n AND array_to_string(e.w[e.p : e.p + e.n - 1], ' ') = i.g),
+t AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM (SELECT DISTINCT r, n, p FROM h)) GROUP BY 1),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY 1),
+u AS (SELECT r, item, n, p, p - k AS diagonal, p - row_number() OVER (PARTITION BY r, item, n, p - k ORDER BY p) AS island FROM h),
+l AS (SELECT r, item, min(p) - 1 AS place, count(*) + n - 1 AS size FROM u GROUP BY r, item, n, diagonal, island),
+o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY r ORDER BY size DESC, place, item) = 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(t.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(m.n_items, 0) >= {MIN_ITEMS} AS contaminated,
+CAST(coalesce(o.size, 0) AS BIGINT) AS longest, o.item AS longest_item, CAST(o.place AS BIGINT) AS longest_at
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN m ON d.r = m.r LEFT JOIN o ON d.r = o.r
+"""
+
+
 def brute(doc: str | None, items: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, list[str]]:
     """(n_words, n_hit, items) by direct comparison, for tests."""
     import re

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_preferences": preferences.op10,
 }
 
-ORACLE: dict[str, str] = {"op10_preferences": preferences.SQL10}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.SQL2, "op6_near_duplicates": near_duplicates.SQL6, "op10_preferences": preferences.SQL10}

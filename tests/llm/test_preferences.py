@@ -1,6 +1,5 @@
 import random
 
-import duckdb
 from pyspark.sql import functions as F
 
 from tallyforge.llm import preferences as P
@@ -49,12 +48,3 @@ def test_brute_force(spark):
     assert {g.pair_id: tuple(g)[1:7] for g in said} == want
     assert all(g.usable == bool(g.c and g.r) for g in said)
     assert P.formatted(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
-
-
-def test_sql(spark):
-    sf = "/root/testdata/sf0.01"
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    cols = "pair_id, n_prefix, prompt, chosen, rejected, chosen_mask, rejected_mask, usable"
-    want = sorted(map(str, db.execute(f"SELECT {cols} FROM ({P.SQL10})").fetchall()))
-    assert sorted(str(tuple(r)) for r in P.op10(spark, sf).select(*cols.split(", ")).collect()) == want and want
