@@ -14,13 +14,28 @@ def burden_class(total):
     return F.when(total == 0, "dead").when(total < 100, "low").when(total < 10_000, "standard").otherwise("high")
 
 
+#: Shares from which a sample is an artifact or watched.
+ARTIFACT_SHARE, CA_SHARE, CT_SHARE = 0.05, 0.30, 0.40
+
+
+def qc_flag(artifact_share, share_ca, share_ct, burden):
+    """artifact, watch or ok; a null share reaches no threshold."""
+    reaches = lambda c, least: F.coalesce(c >= least, F.lit(False))
+    return F.when(reaches(artifact_share, ARTIFACT_SHARE) | reaches(share_ca, CA_SHARE), "artifact").when(reaches(share_ct, CT_SHARE) | (burden == "low"), "watch").otherwise("ok")
+
+
+def mechanism_channels(channels: list[str]) -> list[tuple[str, str]]:
+    """(channel, mechanism) of the two damage mechanisms: C>A by oxidation, C>T by formalin fixation."""
+    return [(c, "oxoG" if "C>A" in c else "ffpe") for c in channels if "C>A" in c or "C>T" in c]
+
+
 def qc_report(catalog: DataFrame, c_to_a: str, c_to_t: str) -> DataFrame:
     """(sample, total, log10_total, burden, share_ca, share_ct, flag); `c_to_*` are patterns of channels."""
     part = lambda p: F.sum(F.when(F.col("channel").like(p), F.col("count")).otherwise(0.0))
     s = catalog.groupBy("sample").agg(F.sum("count").alias("total"), part(c_to_a).alias("ca"), part(c_to_t).alias("ct"))
     share = lambda c: F.try_divide(F.col(c), F.col("total"))
     out = s.select("sample", "total", F.when(F.col("total") > 0, F.log10("total")).alias("log10_total"), burden_class(F.col("total")).alias("burden"), share("ca").alias("share_ca"), share("ct").alias("share_ct"))
-    return out.withColumn("flag", F.when(F.col("burden") == "dead", "dead").when(F.col("share_ca") > 0.5, "artifact").when(F.col("burden") == "low", "low").otherwise("ok"))
+    return out.withColumn("flag", qc_flag(F.lit(None).cast("double"), F.col("share_ca"), F.col("share_ct"), F.col("burden")))
 
 
 def ploh(segments: DataFrame, chr_size: float) -> DataFrame:

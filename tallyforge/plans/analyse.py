@@ -305,7 +305,7 @@ def empirical_null(spark, sf):
 
 @query("qc_report", """WITH c AS (SELECT o_custkey AS sample, o_orderpriority AS channel, CAST(count(*) AS DOUBLE) * 13 AS n FROM orders GROUP BY 1, 2), s AS (SELECT sample, sum(n) AS total, sum(CASE WHEN channel LIKE '1-%' THEN n ELSE 0 END) AS ca, sum(CASE WHEN channel LIKE '5-%' THEN n ELSE 0 END) AS ct FROM c GROUP BY 1),
 b AS (SELECT *, CASE WHEN total = 0 THEN 'dead' WHEN total < 100 THEN 'low' WHEN total < 10000 THEN 'standard' ELSE 'high' END AS burden FROM s)
-SELECT sample, total, round(log10(total), 6) AS log10_total, burden, round(ca / total, 6) AS share_ca, round(ct / total, 6) AS share_ct, CASE WHEN burden = 'dead' THEN 'dead' WHEN ca / total > 0.5 THEN 'artifact' WHEN burden = 'low' THEN 'low' ELSE 'ok' END AS flag FROM b""")
+SELECT sample, total, round(log10(total), 6) AS log10_total, burden, round(ca / total, 6) AS share_ca, round(ct / total, 6) AS share_ct, CASE WHEN ca / total >= 0.3 THEN 'artifact' WHEN ct / total >= 0.4 OR burden = 'low' THEN 'watch' ELSE 'ok' END AS flag FROM b""")
 def qc_report(spark, sf):
     c = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("sample"), F.col("o_orderpriority").alias("channel")).agg((F.count(F.lit(1)).cast("double") * 13).alias("count"))
     return reports.qc_report(c, "1-%", "5-%").withColumns({k: R6(k) for k in ("log10_total", "share_ca", "share_ct")})

@@ -37,3 +37,13 @@ def test_strand_and_sanity():
     assert S.strand_bias(3, 9)["p"] < S.strand_bias(3.5, 8.5)["p"] < S.strand_bias(4, 8)["p"] and S.strand_bias(0, 0)["p"] == 1
     assert S.sanity_curve([1, 2, 3], [0.95, 0.94, 0.96], [0.9, 0.9, 0.9])["ok"]
     assert not S.sanity_curve([1, 2, 3], [0.95, 0.8, 0.7], [0.9, 0.9, 0.9])["ok"]
+
+
+def test_qc_flags(spark):
+    from tallyforge.functions.channels import sbs96
+    from tallyforge.operators import reports
+
+    rows = [("dead", "A[C>A]A", 0.0), ("low", "A[C>G]A", 50.0), ("ox", "A[C>A]A", 300.0), ("ox", "A[C>G]A", 700.0), ("ct", "A[C>T]A", 400.0), ("ct", "A[C>G]A", 600.0), ("ok", "A[C>G]A", 500.0)]
+    got = {r.sample: r.flag for r in reports.qc_report(spark.createDataFrame(rows, "sample string, channel string, count double"), "%C>A%", "%C>T%").collect()}
+    assert got == {"dead": "ok", "low": "watch", "ox": "artifact", "ct": "watch", "ok": "ok"}
+    assert [m for _, m in reports.mechanism_channels(sbs96())].count("oxoG") == 16 and len(reports.mechanism_channels(sbs96())) == 32
