@@ -1,22 +1,22 @@
 """Language-model scores by a weighted backoff automaton.
 
 Smoothed n-grams are the automaton's states.  A state has an arc for each word
-that follows its words often enough, with the smoothed log10 probability, and a
-failure arc to the state of its words but the first, with the log10 of the mass
-left over.  One traversal from left to right follows, for each word, failure
-arcs until an arc for it is found, adds up the weights, and moves to the
-longest state that ends in the word.
-
-Words are counted exactly over all training texts, with one distributed table
-of (text bucket, word) rows: a bucket asks for the counts of its own words
-only, so no task and no broadcast holds the vocabulary.  An n-gram of two or
-three words is a state's arc if its share of the training tokens is at least
-`share`; at most 1 / share n-grams of a length can be, whatever the corpus, so
-these arcs can be broadcast.  They are found exactly: a batch passes on the
-n-grams that have half that share of its own tokens, so the counts passed on
-fall short of an n-gram's true count by less than half the share of all tokens.
-Those whose counts still reach half the share, 2 / share of a length at most,
-are the candidates that are then counted over all texts.
+that follows its words in the training texts, with the smoothed log10
+probability, and a failure arc to the state of its words but the first, with
+the log10 of the mass left over.  One traversal from left to right follows, for
+each word, failure arcs until an arc for it is found, adds up the weights, and
+moves to the longest state that ends in the word.
+
+Words and n-grams are counted exactly over all training texts, and none is cut.
+Words are rows (text bucket, word).  N-grams go packed: a task sends those of
+its texts, with their buckets, to the part of their first two words, so an
+n-gram's history is in the n-gram's own part.  A part adds them up and
+answers each bucket with the totals of those that other buckets have too; those
+of one bucket alone are counted there again.  A bucket gets the numbers of its
+own n-grams only, so no task, no broadcast and no driver holds the model.
+
+A state's failure arc needs the discounted counts that its arcs take: they are
+added up in the part, and for single words summed with the words' counts.
 
 A word's lowest-order probability is (c + 1) / (N + V + 1); higher orders use
 absolute discounting interpolated with the order below.
@@ -34,12 +34,11 @@ from tallyforge.llm._frames import blocks_for, cells, quantiles, small_batches,
 
 FOLDS, HELD = 7, 2
 ORDER = 3
-SHARE = 2e-5
+#: Share of the training tokens from which an n-gram is an arc: none is cut.
+SHARE = 0.0
 DISCOUNT = 0.5
 #: Bytes of text in a bucket, about.
-BUCKET = 12 << 20
-#: Bytes of text that are scored at a time.
-SCORED = 2 << 20
+BUCKET = 8 << 20
 #: The end of a text, which is also the state before its first word.
 END = X.U64(0x51ED270B7A3F00D5)
 
@@ -78,51 +77,14 @@ def grams(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 
 class Automaton:
-    """States and arcs; lookups go by 64-bit n-gram hashes.
-
-    `counts`: for each order from 2, {hash: (count, hash of the history,
-    hash of the n-gram without its first word, last word)} as arrays.
-    """
+    """States and arcs, for tests; lookups go by 64-bit n-gram hashes."""
 
     def __init__(self, arcs: list[tuple[np.ndarray, np.ndarray]], failures: list[tuple[np.ndarray, np.ndarray]]):
         self.arcs, self.failures = arcs, failures  # sorted keys and values, by order from 2
-        self.bits = []
-        for keys, _ in arcs + failures:
-            b = np.zeros(1 << 20, bool)
-            b[(keys & X.U64((1 << 20) - 1)).astype(np.int64)] = True
-            self.bits.append(b)
-
-    @staticmethod
-    def find(keys: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in `wanted` that are keys, their places in `keys`)."""
-        maybe = np.flatnonzero(bits[(wanted & X.U64((1 << 20) - 1)).astype(np.int64)])
-        if not len(maybe) or not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted[maybe]), len(keys) - 1)
-        good = keys[at] == wanted[maybe]
-        return maybe[good], at[good]
-
-    def weights(self, words: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; `base` has the lowest order's."""
-        out = base.copy()
-        orders = len(self.arcs)
-        for k in range(orders):  # order k + 2: the state holds the k + 1 words before the token
-            ended = grams(words, first, k + 1)
-            state = np.empty_like(ended)
-            state[1:] = ended[:-1]
-            if len(state):
-                state[0] = 0
-                begins = first[:-1]
-                state[begins] = END if k == 0 else 0
-            at, where = self.find(self.failures[k][0], self.bits[orders + k], state)
-            out[at] += self.failures[k][1][where]
-            at, where = self.find(self.arcs[k][0], self.bits[k], grams(words, first, k + 2))
-            out[at] = self.arcs[k][1][where]
-        return out
 
 
 def build(tables: list[dict], n_train: int, v_train: int, words: dict[int, int], discount: float = DISCOUNT) -> Automaton:
-    """From frequent n-grams {(w1, .., wn): count} of each order from 2 and the
+    """From n-grams {(w1, .., wn): count} of each order from 2 and the
     counts of their words.  A history's count is its own as an n-gram."""
     def base(w):
         return (words[w] + 1) / (n_train + v_train + 1)
@@ -166,8 +128,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(X.U64).view(np.int64)
 
 
-def _bucketed(documents: DataFrame, bucket: int, train: Column | None) -> DataFrame:
-    """Documents with a bucket of about `bucket` bytes: neighbouring ids, which
+def _bucketed(documents: DataFrame, bucket: int, train: Column | None) -> tuple[DataFrame, int]:
+    """(documents, number of buckets): documents with a bucket of about `bucket` bytes: neighbouring ids, which
     often stand in one file, and hashes of texts without an id."""
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total, cuts = rows.agg(F.sum(F.octet_length("text") + F.lit(64)), quantiles()).first()
@@ -175,22 +137,18 @@ def _bucketed(documents: DataFrame, bucket: int, train: Column | None) -> DataFr
     cell, _, _ = cells(cuts, n)
     mark = ~held_out(F.col("doc_id")) if train is None else train
     place = F.coalesce(cell, F.pmod(F.xxhash64("text"), F.lit(n)))
-    return rows.select(place.cast("int").alias("bucket"), "doc_id", mark.alias("train"), "text")
+    return rows.select(place.cast("int").alias("bucket"), "doc_id", mark.alias("train"), "text"), n
 
 
 #: Buckets whose words a task holds before it passes them on.
 OPEN = 64
 
 
-def _gathered(share: float, order: int):
-    """Arrow function of a task: the distinct words of each bucket with their
-    training counts (kind 1), and the n-grams of half the share in a batch
-    (kind 2, 3, ..) with their words, last word first."""
+def _words():
+    """Arrow function of a task: the distinct words of each bucket with their training counts."""
 
-    def out(bucket, kind, hashes, counts, w=None):
-        n = len(hashes)
-        words = pa.nulls(n, pa.list_(pa.int64())) if w is None else pa.array(_signed(w.ravel()).reshape(w.shape).tolist(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(_signed(hashes)), pa.array(counts.astype(np.int64)), words], ["bucket", "kind", "hash", "n", "words"])
+    def out(bucket, hashes, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), bucket, np.int32)), pa.array(_signed(hashes)), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(hashes)))], ["bucket", "hash", "n", "less"])
 
     def merged(parts):
         if len(parts) == 1:
@@ -219,28 +177,202 @@ def _gathered(share: float, order: int):
                 pending.setdefault(name, []).append((distinct, np.bincount(inverse, weights=marked[own], minlength=len(distinct)).astype(np.int64)))
             gone = [b for b in pending if b not in set(names.tolist())] if len(pending) <= OPEN else list(pending)
             for b in gone:
-                yield out(b, 1, *merged(pending.pop(b)))
-            total = int(marked.sum())
-            place = np.arange(len(words)) - np.repeat(first[:-1], size)
-            for n in range(2, order + 1):
-                g = grams(words, first, n)
-                here = np.flatnonzero(marked & (g != 0))
-                value, where, number = np.unique(g[here], return_index=True, return_counts=True)
-                often = number >= max(1.0, share / 2 * total)
-                value, where, number = value[often], here[where[often]], number[often]
-                w = np.stack([np.where(place[where] - k >= 0, words[np.maximum(where - k, 0)], END) for k in range(n)], 1)
-                yield out(0, n, value, number, w)
+                yield out(b, *merged(pending.pop(b)))
         for b in list(pending):
-            yield out(b, 1, *merged(pending.pop(b)))
+            yield out(b, *merged(pending.pop(b)))
+
+    return run
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """8-byte numbers with their first bytes first, then their second ones ..: high bytes, often equal, compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _flat(planes: bytes, kind=X.U64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, number): rows sorted by the keys, the last one first, the
+    starts of equal ones in this order, and each row's number among them."""
+    at = np.lexsort(keys)
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[at]
+        new[1:] |= k[1:] != k[:-1]
+    number = np.empty(len(at), np.int32)
+    number[at] = np.cumsum(new, dtype=np.int32) - 1
+    return at, np.flatnonzero(new), number
+
+
+def _levels(words: np.ndarray, first: np.ndarray, buckets: np.ndarray, train: np.ndarray, order: int) -> list[tuple]:
+    """For each order from 2, (up, hash, n, some, number): its distinct n-grams
+    by bucket, or by the number of their history in the order below, with their
+    training counts and a token where they end; and each token's n-gram."""
+    size = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], size)
+    marked = np.repeat(train, size)
+    out: list[tuple] = []
+    for k in range(2, order + 1):
+        at = np.flatnonzero(place >= k - 2)
+        up = np.repeat(buckets, size).astype(np.int64) if k == 2 else out[-1][4][at - 1].astype(np.int64)
+        g = grams(words, first, k)[at]
+        by, starts, own = _runs(g, up)
+        number = np.full(len(words), -1, np.int32)
+        number[at] = own
+        head = by[starts]
+        out.append((up[head], g[head], np.bincount(own, weights=marked[at], minlength=len(starts)).astype(np.int64), at[head], number))
+    return out
+
+
+def _asked(parts: int, order: int):
+    """Arrow function of a task: for each part its n-grams in about `BUCKET`
+    bytes of text: bucket, first word, hash and count of those of two words,
+    then history's place, hash and count of each longer order's."""
+
+    def packed(batches):
+        batch = pa.Table.from_batches(batches)
+        words, first = tokens(batch.column(2))
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[first[:-1]] = END
+        bodies: list[list] = [[] for _ in range(parts)]
+        part = chosen = None
+        for up, g, n, some, _ in _levels(words, first, batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(bool), order):
+            part = ((g >> X.U64(24)) % X.U64(parts)).astype(np.int64) if part is None else part[up]
+            by = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[by], np.arange(parts + 1))
+            now = [by[a:b] for a, b in zip(edge, edge[1:])]
+            for p, own in enumerate(now):
+                lead = [up[own], before[some[own]]] if chosen is None else [np.diff(np.searchsorted(chosen[p], up[own]), prepend=0)]
+                bodies[p] += [_planes(x) for x in (*lead, g[own], n[own])]
+            chosen = now
+        some = [p for p in range(parts) if bodies[p][0]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([bodies[p] for p in some], pa.list_(pa.binary()))], ["part", "body"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in X.slices(batches, size=BUCKET):
+            if held and size + batch.nbytes > BUCKET:
+                yield packed(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _answered(least: float, discount: float, order: int):
+    """Arrow function of a part: the totals of the n-grams that several buckets
+    have, for each of these (hash, total and what the arcs of its state take, by
+    order, in `body`), and what the arcs of single words take (bucket -1)."""
+
+    def run(key, t):
+        parsed = [[_flat(b) for b in body] for body in t.column("body").to_pylist()]
+        whole = lambda i: np.concatenate([p[i] for p in parsed])
+        bucket, shift = whole(0).view(np.int64), np.cumsum([0] + [len(p[0]) for p in parsed])
+        levels, number = [], None
+        for k in range(order - 1):
+            if k:
+                i = 3 * k + 1
+                up = np.concatenate([np.cumsum(p[i].view(np.int64)) + s for p, s in zip(parsed, shift)])
+                shift = np.cumsum([0] + [len(p[i]) for p in parsed])
+                bucket, parent = bucket[up], number[up]
+            g, n = whole(3 * k + 2), whole(3 * k + 3).view(np.int64)
+            by, starts, number = _runs(g)
+            total, shared, less = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
+            if len(starts):
+                b = bucket[by]
+                total = np.add.reduceat(n[by], starts)
+                shared = (np.minimum.reduceat(b, starts) != np.maximum.reduceat(b, starts)) & (total > 0)
+                taken = np.where(total >= least, np.maximum(total - discount, 0.0), 0.0)
+                if k:
+                    levels[-1][-1][:] = np.bincount(parent[by[starts]], weights=taken, minlength=len(levels[-1][-1]))
+                else:
+                    word, at = np.unique(whole(1)[by[starts]], return_inverse=True)
+                    by_word = np.bincount(at, weights=taken, minlength=len(word))
+                less = np.zeros(len(starts))
+            levels.append((bucket, g, number, total, shared, less))
+        asked = []
+        for b, g, number, total, shared, less in levels:
+            own = np.flatnonzero(shared[number])
+            own = own[np.argsort(b[own], kind="stable")]
+            asked.append((b[own], g[own], total[number[own]], less[number[own]]))
+        names = np.unique(np.concatenate([a[0] for a in asked]))
+        bodies: list[list] = [[] for _ in names]
+        for b, *values in asked:
+            lo, hi = np.searchsorted(b, names), np.searchsorted(b, names, side="right")
+            for body, i, j in zip(bodies, lo, hi):
+                body += [_planes(x[i:j]) for x in values]
+        some = by_word > 0
+        n, m = int(some.sum()), len(names)
+        return pa.Table.from_pydict({
+            "bucket": pa.array(np.append(np.full(n, -1), names).astype(np.int32)), "hash": pa.concat_arrays([pa.array(_signed(word[some])), pa.nulls(m, pa.int64())]),
+            "less": pa.concat_arrays([pa.array(by_word[some]), pa.nulls(m, pa.float64())]), "body": pa.array([None] * n + bodies, pa.list_(pa.binary())),
+        })
 
     return run
 
 
-class Model:
-    """What scoring needs besides the words' counts."""
+def _scored(n_train: int, v_train: int, least: float, discount: float, order: int):
+    """Arrow function of a bucket: its texts' scores from the numbers of its words and n-grams."""
+
+    def run(key, left, right):
+        body = right.column("body")
+        answers = [[_flat(b) for b in x] for x in right.filter(body.is_valid()).column("body").to_pylist()]
+        right = right.filter(body.is_null())
+        keys = right.column("hash").to_numpy().view(X.U64)
+        at = np.argsort(keys)
+        keys, total, less = keys[at], right.column("total").to_numpy()[at], right.column("less").to_numpy()[at]
+        w, first = tokens(left.column("text"))
+        begins = first[:-1]
+        place = np.arange(len(w)) - np.repeat(begins, np.diff(first))
+        at = np.searchsorted(keys, w)
+        count, end = total[at], np.searchsorted(keys, END)
+        p = (count + 1) / (n_train + v_train + 1)
+        base = np.log10(p)
+        levels = _levels(w, first, np.zeros(left.num_rows, np.int32), left.column("train").to_numpy().astype(bool), order)
+        totals, takes = [], []
+        for k, (up, g, n, _, _) in enumerate(levels):
+            if k:
+                takes.append(np.bincount(up, weights=np.where(n >= least, np.maximum(n - discount, 0.0), 0.0), minlength=len(totals[-1])))
+            totals.append(n)
+        takes.append(np.zeros(len(totals[-1])))
+        for k, (_, g, _, _, _) in enumerate(levels):
+            if answers:
+                known, where = np.unique(np.concatenate([a[3 * k] for a in answers]), return_index=True)
+                if len(known):
+                    to = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    hit = np.flatnonzero(known[to] == g)
+                    to = where[to[hit]]
+                    totals[k][hit] = np.concatenate([a[3 * k + 1] for a in answers]).view(np.int64)[to]
+                    takes[k][hit] = np.concatenate([a[3 * k + 2] for a in answers]).view(float)[to]
+        for k, level in enumerate(levels):
+            here = np.flatnonzero(place >= k)
+            if k:
+                before = levels[k - 1][4][here - 1]
+                history, taken = totals[k - 1][before], takes[k - 1][before]
+            else:
+                history, taken = np.empty_like(count), np.empty(len(w))
+                history[1:], taken[1:] = count[:-1], less[at[:-1]]
+                history[begins], taken[begins] = total[end], less[end]
+            own = totals[k][level[4][here]]
+            history = np.maximum(history, 1)  # a history that no training text has takes nothing
+            arc = own >= least
+            left_over = 1.0 - taken / history
+            p[here] = np.where(arc, np.maximum(own - discount, 0.0) / history + left_over * p[here], np.maximum(left_over, 1e-12) * p[here])
+        weight = np.log10(p)
+        add = lambda x: np.add.reduceat(x, begins)
+        return pa.Table.from_pydict({
+            "doc_id": left.column("doc_id"), "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_known": pa.array(add((count > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(left.num_rows, n_train, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(weight)),
+        })
 
-    def __init__(self, automaton: Automaton, n_train: int, v_train: int):
-        self.automaton, self.n_train, self.v_train = automaton, n_train, v_train
+    return run
 
 
 def score(documents: DataFrame, train: Column | None = None, order: int = ORDER, share: float = SHARE, discount: float = DISCOUNT, bucket: int = BUCKET) -> DataFrame:
@@ -250,90 +382,30 @@ def score(documents: DataFrame, train: Column | None = None, order: int = ORDER,
     are learned from.  Null counts as the empty text, whose only token is the
     end.  Repeated rows are counted and scored as often as they occur.  Without
     training rows every token is unknown.  An empty table gives no rows.
-    Columns other than doc_id and text are ignored.
+    Columns other than doc_id and text are ignored.  `share`, for models that
+    leave out rare n-grams, is the least share of the training tokens of an arc.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    rows = _bucketed(documents, bucket, train)
-    gathered = rows.select("bucket", "train", "text").mapInArrow(_gathered(share, order), "bucket int, kind int, hash long, n long, words array<long>")
-    same = Window.partitionBy("kind", "hash")
-    # One shuffle gives each (bucket, word) row the word's total.
-    gathered = written(gathered.withColumn("total", F.sum("n").over(same)).withColumn("lead", F.row_number().over(same.orderBy("bucket")) == 1).drop("n"))
-    words = gathered.where("kind = 1")
-    totals = words.where("lead").select("hash", "total")
-    n_train, v_train = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-    candidates = gathered.where(F.expr("kind > 1 and lead") & (F.col("total") >= share / 2 * n_train)).select("kind", "hash", "words")
-    found = _frequent(rows, candidates, n_train, order, share)
-    used = sorted({w for t in found for g in t for w in g})
-    known = {}
-    if used:
-        few = F.broadcast(spark.createDataFrame([(_one_signed(w),) for w in used], "hash long"))
-        known = {r["hash"] & (2**64 - 1): r["total"] for r in totals.join(few, "hash").collect()}
-    automaton = build(found, n_train, v_train, known, discount)
-    shared = spark.sparkContext.broadcast(Model(automaton, n_train, v_train))
-    # Each bucket gets its own words with their totals: (bucket, word) rows meet the word's total.
-    # A bucket met by several tasks has some words more than once.
-    asked = words.select("bucket", "hash", "total")
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        keys = right.column("hash").to_numpy().view(X.U64)
-        at = np.argsort(keys)
-        keys, total = keys[at], right.column("total").to_numpy()[at]
-        out = []
-        for batch in X.slices(left.to_batches(), size=SCORED):
-            w, first = tokens(batch.column("text"))
-            count = total[np.searchsorted(keys, w)]
-            base = np.log10((count + 1) / (model.n_train + model.v_train + 1))
-            weight = model.automaton.weights(w, first, base)
-            add = lambda x: np.add.reduceat(x, first[:-1])
-            out.append(pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(first).astype(np.int64)), "n_known": pa.array(add((count > 0).astype(np.int64)).astype(np.int64)),
-                "train_tokens": pa.array(np.full(batch.num_rows, model.n_train, np.int64)), "base_score": pa.array(add(base).astype(float)), "score": pa.array(add(weight).astype(float)),
-            }))
-        return pa.Table.from_batches(out)
-
+    small_batches(documents.sparkSession)
+    rows, parts = _bucketed(documents, bucket, train)
+    texts = rows.select("bucket", "train", "text")
+    least = 1.0
+    if share > 0:
+        size = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([int(tokens(b.column(0))[1][-1])], pa.int64())}) for b in X.slices(batches))
+        least = max(1.0, share * (rows.where("train").select("text").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 0))
+    asked = texts.mapInArrow(_asked(parts, order), "part int, body array<binary>")
+    answers = written(asked.groupBy("part").applyInArrow(_answered(least, discount, order), "bucket int, hash long, less double, body array<binary>"))
+    # One shuffle gives each (bucket, word) row the word's totals.
+    same = Window.partitionBy("hash")
+    taken = answers.where("bucket < 0").select("bucket", "hash", F.lit(0).cast("bigint").alias("n"), "less")
+    words = texts.mapInArrow(_words(), "bucket int, hash long, n long, less double").unionByName(taken)
+    words = written(words.select("bucket", "hash", F.sum("n").over(same).alias("total"), F.sum("less").over(same).alias("less"), (F.row_number().over(same.orderBy("bucket")) == 1).alias("lead")))
+    n_train, v_train = words.where("lead").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
+    # A bucket met by several tasks has some words and n-grams more than once.
+    known = words.where("bucket >= 0").select("bucket", "hash", "total", "less", F.lit(None).cast("array<binary>").alias("body"))
+    known = known.unionByName(answers.where("bucket >= 0").select("bucket", "body"), allowMissingColumns=True)
     kind = dict(documents.dtypes)["doc_id"]
-    return rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _one_signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _frequent(rows: DataFrame, candidates: DataFrame, n_train: int, order: int, share: float) -> list[dict]:
-    """{n-gram: count} for each order from 2, of n-grams whose share is at least `share`.
-
-    `candidates` has 2 / share rows of an order at most, which every task counts.
-    """
-    spark = rows.sparkSession
-    least = share * n_train
-    got = candidates.select("kind", "hash").toPandas()
-    keep = spark.sparkContext.broadcast({n: np.sort(got["hash"].to_numpy()[got["kind"].to_numpy() == n].view(X.U64)) for n in range(2, order + 1)})
-
-    def count(batches):
-        held: dict = {n: np.zeros(len(keep.value[n]), np.int64) for n in range(2, order + 1)}
-        bits = {}
-        for n in held:
-            bits[n] = np.zeros(1 << 20, bool)
-            bits[n][(keep.value[n] & X.U64((1 << 20) - 1)).astype(np.int64)] = True
-        for batch in X.slices(batches):
-            words, first = tokens(batch.column(0))
-            for n in range(2, order + 1):
-                at, where = Automaton.find(keep.value[n], bits[n], grams(words, first, n))
-                held[n] += np.bincount(where, minlength=len(held[n]))
-        for n, number in held.items():
-            at = np.flatnonzero(number)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), n, np.int32)), "hash": pa.array(_signed(keep.value[n][at])), "n": pa.array(number[at])})
-
-    counted = rows.where("train").select("text").mapInArrow(count, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, least))
-    out: list[dict] = [{} for _ in range(order - 1)]
-    for r in counted.join(candidates.select("kind", "hash", "words"), ["kind", "hash"]).collect():
-        out[r["kind"] - 2][tuple(w & (2**64 - 1) for w in reversed(r["words"][: r["kind"]]))] = r["n"]
-    # an arc's history must be a state of its own; a more frequent n-gram's history always is one
-    for k in range(1, len(out)):
-        out[k] = {g: c for g, c in out[k].items() if g[:-1] in out[k - 1]}
-    return out
+    run = _scored(n_train, v_train, least, discount, order)
+    return rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

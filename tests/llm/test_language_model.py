@@ -68,3 +68,17 @@ def test_empty(spark):
     assert L.score(df).count() == 0
     one = L.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), train=L.F.lit(False)).collect()
     assert one[0].n_known == 0 and one[0].base_score == 0.0 and one[0].score == 0.0
+
+
+def test_no_ngram_is_cut(spark):
+    """N-grams of any count are arcs by default, wherever their texts stand: held-out texts keep a rare context."""
+    filler = [f"f{i % 700} g{i % 311}" for i in range(60_000)]
+    docs = [(i, " ".join(filler[60 * i : 60 * i + 60])) for i in range(1000)] + [(2000, "green ideas sleep"), (3000, "green ideas sleep"), (-7, "say green ideas sleep"), (4000, "so colourless green ideas")]
+    train = [d[0] != -7 for d in docs]
+    want = brute([d[1] for d in docs], train, 0.0)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for bucket in (1 << 20, 9000):
+        got = {g.doc_id: g for g in L.score(df, train=L.F.col("doc_id") != -7, bucket=bucket).collect()}
+        for d, w in zip(docs, want):
+            assert abs(got[d[0]].score - w[4]) < 1e-6 and got[d[0]].n_known == w[1]
+    assert got[-7].score > got[-7].base_score + 5
