@@ -376,23 +376,27 @@ def piecewise(y: np.ndarray, kmin: int = 10, gamma: float = 25.0) -> list[int]:
     return ends[::-1]
 
 
-def gmm2(x: np.ndarray, seed: int, rounds: int = 200):
-    """(means, variances, weights, log likelihood) of two Gaussians in one dimension."""
-    a = x[np.random.Generator(np.random.PCG64(seed)).integers(len(x))]
+def gmm2(x: np.ndarray, seed: int, rounds: int = 200, count: np.ndarray | None = None):
+    """(means, variances, weights, log likelihood) of two Gaussians in one dimension; `count` tells how often each value occurs."""
+    count = np.ones(len(x)) if count is None else np.asarray(count, float)
+    size = count.sum()
+    a = x[np.searchsorted(np.cumsum(count), np.random.Generator(np.random.PCG64(seed)).integers(int(size)), side="right")]
     b = x[np.argmax(np.abs(x - a))]
-    mean, var, weight = np.array(sorted((a, b)), float), np.full(2, x.var() + 1e-6), np.full(2, 0.5)
+    spread = np.average((x - np.average(x, weights=count)) ** 2, weights=count)
+    mean, var, weight = np.array(sorted((a, b)), float), np.full(2, spread + 1e-6), np.full(2, 0.5)
     before = -np.inf
     for _ in range(rounds):
         logp = np.log(weight) - 0.5 * np.log(2 * np.pi * var) - 0.5 * (x[:, None] - mean) ** 2 / var
         top = logp.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(logp - top).sum(1))
-        r = np.exp(logp - total[:, None])
+        r = np.exp(logp - total[:, None]) * count[:, None]
         n = r.sum(0) + 1e-12
-        weight, mean = n / len(x), (r * x[:, None]).sum(0) / n
+        weight, mean = n / size, (r * x[:, None]).sum(0) / n
         var = (r * (x[:, None] - mean) ** 2).sum(0) / n + 1e-6
-        if abs(total.mean() - before) < 1e-8:
+        now = np.average(total, weights=count)
+        if abs(now - before) < 1e-8:
             break
-        before = total.mean()
+        before = now
     return mean, var, weight, float(before)
 
 

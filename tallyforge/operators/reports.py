@@ -83,26 +83,29 @@ def stratified(totals: DataFrame, cutoff: float) -> DataFrame:
 
 
 def hyper_cutoff(totals: DataFrame, channels: int, seed: int = 1) -> tuple[float, dict]:
-    """Cutoff from a two-Gaussian mixture of at most 100,000 totals: the mean plus two deviations of the lower
-    part, rounded down, and 100 for each channel at least."""
+    """Cutoff from a two-Gaussian mixture of all totals, fitted on how many samples have each total: the mean
+    plus two deviations of the lower part, rounded down, and 100 for each channel at least."""
     from tallyforge.operators import numerics as N
 
     import numpy as np
 
-    x = np.array([r[0] for r in totals.orderBy(F.xxhash64("sample"), "sample").limit(100_000).select("total").collect()], float)
+    rows = totals.groupBy("total").agg(F.count(F.lit(1))).orderBy("total").collect()
+    x, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     if not len(x):
         return 100.0 * channels, {"n": 0}
     while True:
-        mean, var, weight, ll = N.gmm2(x, seed)
+        mean, var, weight, ll = N.gmm2(x, seed, count=n)
         low, high = (0, 1) if mean[0] <= mean[1] else (1, 0)
         gap = mean[high] - mean[low]
         major = int(np.argmax(weight))
-        if len(x) < 4 or gap < 4 * np.sqrt(var[major]) or major == low:
+        if n.sum() < 4 or gap < 4 * np.sqrt(var[major]) or major == low:
             break
-        x = x[np.abs(x - mean[major]) <= np.abs(x - mean[1 - major])]
-        if len(np.unique(x)) < 2:
+        near = np.abs(x - mean[major]) <= np.abs(x - mean[1 - major])
+        x, n = x[near], n[near]
+        if len(x) < 2:
             break
-    m, s = float(x.mean()) if len(x) else 0.0, float(x.std()) if len(x) else 0.0
+    m = float(np.average(x, weights=n)) if len(x) else 0.0
+    s = float(np.sqrt(np.average((x - m) ** 2, weights=n))) if len(x) else 0.0
     if gap >= 4 * np.sqrt(var[low]):
         m, s = float(mean[low]), float(np.sqrt(var[low]))
-    return max(float(int(m + 2 * s)), 100.0 * channels), {"n": len(x), "means": mean.tolist(), "weights": weight.tolist(), "loglik": ll}
+    return max(float(int(m + 2 * s)), 100.0 * channels), {"n": int(n.sum()), "means": mean.tolist(), "weights": weight.tolist(), "loglik": ll}

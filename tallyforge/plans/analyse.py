@@ -590,7 +590,7 @@ def select_k(spark, sf):
 def stratify_gmm(spark, sf):
     totals = _counts(spark, sf).groupBy("sample").agg(F.sum("count").alias("total"))
     cutoff, _ = reports.hyper_cutoff(totals, 5)
-    return reports.stratified(totals, min(cutoff, 70.0))
+    return reports.stratified(totals, cutoff)
 
 
 @query("kmeans_embed")

@@ -174,6 +174,18 @@ def test_stratify(spark):
     assert {r.sample for r in reports.stratified(t, cut).where("is_hyper").collect()} == {"h1", "h2"}
 
 
+def test_stratify_query_follows_the_fit(spark, monkeypatch):
+    """The registered query flags by the fit's cutoff, and the fit covers all totals."""
+    from tallyforge.plans import analyse
+
+    t = spark.createDataFrame([(f"s{i}", "c", 1000.0 + i) for i in range(60)] + [("h1", "c", 90000.0), ("h2", "c", 95000.0)], "sample string, channel string, count double")
+    monkeypatch.setattr(analyse, "_counts", lambda spark, sf: t)
+    assert {r.sample for r in analyse.stratify_gmm(spark, "").where("is_hyper").collect()} == {"h1", "h2"}
+    many = spark.range(150_000).select(F.col("id").cast("string").alias("sample"), (F.col("id") % 50 + 1000).cast("double").alias("total"))
+    cut, fit = reports.hyper_cutoff(many, 5)
+    assert fit["n"] == 150_000 and 1000 < cut < 1100
+
+
 def test_graph_and_similarity(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (4, 4)], "a long, b long")
     assert {r.node: r.root for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
