@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm._frames import cells, quantiles, table
 
-SAMPLES = 16
+SAMPLES = 64
 #: Documents in a range, at least.
 RANGE = 512
 #: Bits of ln a after the point in a sampler's ordering.
