@@ -55,44 +55,65 @@ def blocks_for(total: int, size: int) -> int:
     return max(1, -(-int(total) // size))
 
 
-#: Quantiles of the ids that cells() can cut at.
+#: Quantiles of the ids that cells() cuts at.
 CUTS = 1024
 
 
-def quantiles() -> Column:
-    """Aggregate: CUTS + 1 approximate quantiles of doc_id, the least and the greatest among them."""
-    return F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10 * CUTS)
+def _literal(values) -> Column:
+    """A constant array of longs, quick to parse."""
+    return F.split(F.lit(",".join(str(int(x)) for x in values)), ",").cast("array<bigint>")
 
 
-def cells(cuts: list[int] | None, n: int) -> tuple[Column, int, bool]:
-    """(cell, cells, split): a number from 0, ascending with doc_id, for parts of about equal rows.
+def cells(rows: DataFrame, size: int, most: int = 1 << 40, name: str = "cell") -> tuple[DataFrame, int, bool]:
+    """(rows with their cell, cells, split): a number from 0, ascending with doc_id, for parts of about `size` bytes of text.
 
-    Ids are cut at quantiles, and each part at equal widths where `n` asks for
-    more, so sparse or clustered ids are dealt out evenly.  An id that holds
-    whole parts is split by a hash of `text`, ascending too; `split` tells that
-    there is one.  The cell of a null id is null.
+    There are about `most` cells at most; their size grows beyond.  Ids are cut
+    at CUTS quantiles.  Small neighbours share a cell, and a part of several
+    sizes is cut again at equal widths, so sparse or clustered ids and long
+    texts are dealt out evenly.  An id with several sizes of its own is split
+    by a hash of `text`, ascending too.  Null ids have the first cells, by that
+    hash.  `split` tells that a cell can begin inside an id.  Reads the rows
+    twice: quantiles of the ids, then bytes by quantile.
     """
-    if not cuts:
-        return F.lit(None).cast("bigint"), 1, False
-    m = 1 << (max(1, min(n, CUTS)).bit_length() - 1)
-    inside = -(-n // m)
-    low = [int(x) for x in cuts[:: CUTS // m]]
-    width = [max(1, -(-(b - a + 1) // inside)) for a, b in zip(low, low[1:])]
-    run = []  # how many cuts up to this one are equal to it
-    for i in range(m):
-        run.append(run[-1] + 1 if i and low[i] == low[i - 1] else 1)
-    array = lambda xs, kind: f"array({', '.join(map(kind, xs))})"
-    lows, whole = array(low[:m], "cast('{}' as bigint)".format), "cast({} as bigint)".format
-    bits = m.bit_length() - 1
-    step = f"k + shiftleft(1, {bits} - j)"
-    part = F.expr(f"aggregate(sequence(1, {bits}), 0, (k, j) -> if(doc_id >= element_at({lows}, {step} + 1), {step}, k))") if bits else F.lit(0)
-    at = part.cast("bigint")
-    pick = lambda xs, kind: F.element_at(F.expr(array(xs, kind)), (at + 1).cast("int"))
-    first, equal = pick(low[:m], "cast('{}' as bigint)".format), pick(run, whole)
-    fine = F.least(F.lit(inside - 1).cast("double"), F.floor((F.col("doc_id").cast("double") - first.cast("double")) / pick(width, "cast('{}' as double)".format)))
-    plain = at * inside + F.greatest(F.lit(0.0), fine).cast("bigint")
-    if max(run) == 1:
-        return F.when(F.col("doc_id").isNotNull(), plain), m * inside, False
     share = (F.xxhash64("text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    spread = (at - equal + 1) * inside + F.least(F.floor(share * ((equal - 1) * inside)), (equal - 1) * inside - 1)
-    return F.when(F.col("doc_id").isNotNull(), F.when((F.col("doc_id") == first) & (equal > 1), spread).otherwise(plain)), m * inside, True
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10 * CUTS)).first()[0]
+    low = sorted({int(x) for x in cuts or []})
+    count = len(low)
+    if low:
+        bits = max(1, (count - 1).bit_length())
+        lows = _literal(low)
+
+        def halve(k, jump):
+            return F.when((k + jump < count) & (F.col("doc_id") >= F.element_at(lows, k + jump + 1)), k + jump).otherwise(k)
+
+        part = F.aggregate(F.array(*[F.lit(1 << (bits - 1 - j)) for j in range(bits)]), F.lit(0), halve)
+        rows = rows.withColumn("__part", F.when(F.col("doc_id").isNotNull(), part))
+        own = F.col("doc_id") == F.element_at(lows, F.col("__part") + 1)
+    else:
+        rows, own = rows.withColumn("__part", F.lit(None).cast("int")), F.lit(None).cast("boolean")
+    found = rows.groupBy("__part", own.alias("own")).agg(F.sum(F.octet_length("text") + F.lit(64)).alias("bytes")).collect()
+    size = max(size, -(-sum(r["bytes"] for r in found) // most))
+    held = {(r["__part"], r["own"]): r["bytes"] for r in found}
+    here, filled, split = 0, None, False
+    start, wide = {}, {}
+    for item in [(None, None), *((k, mine) for k in range(count) for mine in (True, False))]:
+        b = held.get(item, 0)
+        if filled is not None and (filled + b > size or item == (0, True)):
+            here, filled = here + 1, None
+        n = max(1, -(-b // size))
+        start[item], wide[item] = here, n
+        filled = (filled or 0) + b if n == 1 and b else filled
+        if n > 1:
+            here, filled, split = here + n, None, split or item[1] is not False
+    total = max(1, here + (filled is not None))
+    cell = F.floor(share * F.lit(wide[(None, None)]))
+    if low:
+        every = range(count)
+        pick = lambda values: F.element_at(_literal(values), F.col("__part") + 1)
+        width = [max(1, -(-(b - a) // wide[(k, False)])) for k, (a, b) in enumerate(zip(low, [*low[1:], low[-1] + 1]))]
+        inside = F.floor((F.col("doc_id").cast("double") - pick(low).cast("double")) / pick([min(w, 2**63 - 1) for w in width]).cast("double"))
+        other = pick([start[(k, False)] for k in every]) + F.least(pick([wide[(k, False)] for k in every]) - 1, F.greatest(F.lit(0), inside))
+        same = pick([start[(k, True)] for k in every]) + F.floor(share * pick([wide[(k, True)] for k in every]))
+        cell = F.when(F.col("doc_id").isNull(), cell).when(own, same).otherwise(other)
+    # an item without rows may have a cell past the last
+    return rows.withColumn(name, F.least(F.lit(total - 1), cell).cast("bigint")).drop("__part"), total, split

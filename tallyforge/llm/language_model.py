@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text as X
-from tallyforge.llm._frames import blocks_for, cells, quantiles, small_batches, table, written
+from tallyforge.llm._frames import cells, small_batches, table, written
 
 FOLDS, HELD = 7, 2
 ORDER = 3
@@ -132,12 +132,9 @@ def _bucketed(documents: DataFrame, bucket: int, train: Column | None) -> tuple[
     """(documents, number of buckets): documents with a bucket of about `bucket` bytes: neighbouring ids, which
     often stand in one file, and hashes of texts without an id."""
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total, cuts = rows.agg(F.sum(F.octet_length("text") + F.lit(64)), quantiles()).first()
-    n = blocks_for(total or 0, bucket)
-    cell, _, _ = cells(cuts, n)
+    rows, n, _ = cells(rows, bucket)
     mark = ~held_out(F.col("doc_id")) if train is None else train
-    place = F.coalesce(cell, F.pmod(F.xxhash64("text"), F.lit(n)))
-    return rows.select(place.cast("int").alias("bucket"), "doc_id", mark.alias("train"), "text"), n
+    return rows.select(F.col("cell").cast("int").alias("bucket"), "doc_id", mark.alias("train"), "text"), n
 
 
 #: Buckets whose words a task holds before it passes them on.

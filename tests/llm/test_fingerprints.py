@@ -24,7 +24,7 @@ def test_brute_force(spark, monkeypatch):
     docs += [(99999, None), (99998, ""), (99997, "the " * 5000), (None, "null id")]
     want = expect(docs)
     df = spark.createDataFrame([(*d, 1.0, 2) for d in docs], "doc_id long, text string, near_next double, range int").repartition(3)
-    for size in (512, 4):
+    for size in (1 << 20, 400):
         monkeypatch.setattr(P.in_ranges, "__defaults__", (size,))
         got = P.fingerprints(df).collect()
         assert len(got) == len(docs)
