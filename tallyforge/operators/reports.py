@@ -29,43 +29,73 @@ def mechanism_channels(channels: list[str]) -> list[tuple[str, str]]:
     return [(c, "oxoG" if "C>A" in c else "ffpe") for c in channels if "C>A" in c or "C>T" in c]
 
 
-def qc_report(catalog: DataFrame, c_to_a: str, c_to_t: str) -> DataFrame:
-    """(sample, total, log10_total, burden, share_ca, share_ct, flag); `c_to_*` are patterns of channels."""
+def qc_report(catalog: DataFrame, c_to_a: str, c_to_t: str, artifacts: DataFrame | None = None) -> DataFrame:
+    """(sample, total, log10_total, burden, share_ca, share_ct, flag); `c_to_*` are patterns of channels.
+    `artifacts` (sample, artifact_share) has the fitted share of artifact signatures; without it none is known."""
     part = lambda p: F.sum(F.when(F.col("channel").like(p), F.col("count")).otherwise(0.0))
     s = catalog.groupBy("sample").agg(F.sum("count").alias("total"), part(c_to_a).alias("ca"), part(c_to_t).alias("ct"))
     share = lambda c: F.try_divide(F.col(c), F.col("total"))
     out = s.select("sample", "total", F.when(F.col("total") > 0, F.log10("total")).alias("log10_total"), burden_class(F.col("total")).alias("burden"), share("ca").alias("share_ca"), share("ct").alias("share_ct"))
-    return out.withColumn("flag", qc_flag(F.lit(None).cast("double"), F.col("share_ca"), F.col("share_ct"), F.col("burden")))
+    out = out.join(artifacts.select("sample", "artifact_share"), "sample", "left") if artifacts is not None else out.withColumn("artifact_share", F.lit(None).cast("double"))
+    return out.withColumn("flag", qc_flag(F.col("artifact_share"), F.col("share_ca"), F.col("share_ct"), F.col("burden"))).drop("artifact_share")
 
 
-def ploh(segments: DataFrame, chr_size: float) -> DataFrame:
-    """(sample, ploh): share of the genome lost on autosomes."""
-    long = F.col("end") - F.col("start") + 1
-    lost = (F.col("minor_cn") == 0) & (F.col("state") > 0) & ~F.col("chromosome").isin("X", "Y")
-    return segments.groupBy("sample").agg((F.sum(F.when(lost, long).otherwise(0)) / F.lit(float(chr_size))).alias("ploh"))
+#: The chromosomes that count, and those whose short arm can be left out.
+AUTOSOMES = tuple(str(k) for k in range(1, 23))
+ACROCENTRIC = ("13", "14", "15", "21", "22")
 
 
-def aneuploidy(segments: DataFrame, arms: DataFrame, ploidy: int = 2) -> DataFrame:
-    """(sample, aneuploidy): arms whose length-weighted state, rounded half to even, isn't the ploidy; an arm counts 0.5 where the whole chromosome differs.
-    `arms` (chromosome, arm, arm_start, arm_end) has a few dozen rows."""
-    s, a = segments, F.broadcast(arms)
-    over = F.least("end", "arm_end") - F.greatest("start", "arm_start") + 1
+def _bare(chromosome: str):
+    """A chromosome's name without a leading chr."""
+    return F.regexp_replace(chromosome, "^chr", "")
+
+
+def ploh(segments: DataFrame, chr_size: float) -> DataFrame:
+    """(sample, ploh): share of the genome lost, on autosomes; the smaller of both alleles decides.
+
+    Rows with a null position, state or minor_cn count nothing; a sample
+    without usable rows has 0.
+    """
+    minor = F.least(F.col("state") - F.col("minor_cn"), F.col("minor_cn"))
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("state").isNotNull() & F.col("minor_cn").isNotNull()
+    lost = whole & _bare("chromosome").isin(*AUTOSOMES) & (F.col("state") >= 1) & (minor == 0)
+    return segments.groupBy("sample").agg((F.sum(F.when(lost, F.col("end") - F.col("start") + 1).otherwise(0)) / F.lit(float(chr_size))).alias("ploh"))
+
+
+def aneuploidy(segments: DataFrame, arms: DataFrame, ploidy: int = 2, rm_black_arms: bool = False) -> DataFrame:
+    """(sample, aneuploidy): autosomes whose states, weighted by the share of an arm that
+    they cover and added up over both arms, aren't the ploidy after rounding half to even.
+
+    Where one segment spans the whole chromosome, each meeting of a segment and
+    an arm weighs 0.5 instead.  `arms` (chromosome, arm, arm_start, arm_end) has
+    a few dozen rows; `rm_black_arms` leaves out the acrocentric short arms.
+    """
+    s = segments.where(F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("state").isNotNull()).withColumn("chromosome", _bare("chromosome")).where(F.col("chromosome").isin(*AUTOSOMES))
+    a = arms.withColumn("chromosome", _bare("chromosome"))
+    ends = a.groupBy("chromosome").agg(F.min(F.when(F.col("arm") == "p", F.col("arm_start"))).alias("first"), F.max(F.when(F.col("arm") == "q", F.col("arm_end"))).alias("last"))
+    if rm_black_arms:
+        a = a.where(~((F.col("arm") == "p") & F.col("chromosome").isin(*ACROCENTRIC)))
+    a = F.broadcast(a.join(ends, "chromosome"))
     met = s.join(a, "chromosome").where((F.col("start") <= F.col("arm_end")) & (F.col("end") >= F.col("arm_start")))
-    by_arm = met.groupBy("sample", "chromosome", "arm").agg(F.sum(F.col("state") * over / (F.col("arm_end") - F.col("arm_start") + 1)).alias("total"))
-    off = by_arm.withColumn("off", (F.bround(F.round(F.col("total") - ploidy, 9), 0) != 0).cast("int"))
-    chrom = off.groupBy("sample", "chromosome").agg(F.sum("off").alias("off"), F.count(F.lit(1)).alias("arms"))
-    score = F.when((F.col("off") == F.col("arms")) & (F.col("arms") > 1), F.col("off") * 0.5).otherwise(F.col("off").cast("double"))
-    return chrom.groupBy("sample").agg(F.sum(score).alias("aneuploidy"))
+    over = F.least("end", "arm_end") - F.greatest("start", "arm_start") + 1
+    # one pass: both sums, of which the whole-chromosome flag picks one
+    total = met.groupBy("sample", "chromosome").agg(
+        F.max((F.col("start") <= F.col("first")) & (F.col("end") >= F.col("last"))).alias("whole"), F.sum(F.col("state") * 0.5).alias("halves"),
+        F.sum(F.col("state") * over / (F.col("arm_end") - F.col("arm_start") + 1)).alias("shares"),
+    )
+    off = F.bround(F.round(F.when(F.col("whole"), F.col("halves")).otherwise(F.col("shares")) - ploidy, 9), 0) != 0
+    scored = total.groupBy("sample").agg(F.count_if(off).cast("double").alias("aneuploidy"))
+    return segments.select("sample").distinct().join(scored, "sample", "left").fillna(0.0, ["aneuploidy"])
 
 
 def hrd_report(segments: DataFrame, arms: DataFrame, chr_size: float, caller: str, assay: str = "wgs", experimental: bool = False) -> DataFrame:
-    """(sample, ploh, aneuploidy, hrd): hrd is 1 from a lost share of 0.4 and 4 aneuploid arms on."""
+    """(sample, ploh, aneuploidy, hrd): hrd is 1 from a lost share of 0.4 and 4 aneuploid chromosomes on."""
     if caller not in CALLERS:
         raise EngineError("input", f"caller {caller} isn't known")
     if assay == "wes" and not experimental:
         raise EngineError("input", "exome data need experimental=True")
     both = ploh(segments, chr_size).join(aneuploidy(segments, arms), "sample", "left")
-    return both.withColumn("hrd", F.when(F.col("aneuploidy").isNotNull(), ((F.col("ploh") >= 0.4) & (F.col("aneuploidy") >= 4)).cast("int")))
+    return both.withColumn("hrd", ((F.col("ploh") >= 0.4) & (F.col("aneuploidy") >= 4)).cast("int"))
 
 
 def contrast(values: DataFrame, treated: DataFrame, floor: float = 50.0) -> DataFrame:

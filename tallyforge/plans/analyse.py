@@ -78,15 +78,22 @@ def top_two_matches(spark, sf):
     return similarity.top_two(pairs(spark, sf)).withColumns({"first_cosine": R6("first_cosine"), "second_cosine": R6("second_cosine")})
 
 
-@query("threshold_sweep", f"{_PAIRS}, o AS (SELECT est, ref, cosine FROM m WHERE est = ref) SELECT k.threshold, CAST(count(*) FILTER (cosine >= k.threshold) AS BIGINT) AS tp, CAST(count(*) FILTER (cosine < k.threshold) AS BIGINT) AS fp, CAST(10 - count(*) FILTER (cosine >= k.threshold) AS BIGINT) AS fn FROM o CROSS JOIN (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in TAUS)}) k(threshold) GROUP BY 1")
+#: The assignment of the ten signatures in SQL: the best total for each set of references taken, one signature more at a time.
+_BEST = f"{_PAIRS}, d0 AS (SELECT 0 AS mask, CAST(0 AS DOUBLE) AS total, CAST([] AS INTEGER[]) AS refs), " + ", ".join(
+    f"d{k + 1} AS (SELECT d.mask | (1 << m.ref) AS mask, max(d.total + m.cosine) AS total, arg_max(list_append(d.refs, CAST(m.ref AS INTEGER)), d.total + m.cosine) AS refs FROM d{k} d JOIN m ON m.est = {k} AND d.mask & (1 << m.ref) = 0 GROUP BY 1)"
+    for k in range(10)
+) + ", o AS (SELECT m.est, m.ref, m.cosine FROM d10 JOIN m ON d10.refs[m.est + 1] = m.ref)"
+
+
+@query("threshold_sweep", f"{_BEST} SELECT k.threshold, CAST(count(*) FILTER (cosine >= k.threshold) AS BIGINT) AS tp, CAST(count(*) FILTER (cosine < k.threshold) AS BIGINT) AS fp, CAST(10 - count(*) FILTER (cosine >= k.threshold) AS BIGINT) AS fn FROM o CROSS JOIN (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in TAUS)}) k(threshold) GROUP BY 1")
 def threshold_sweep(spark, sf):
-    own = pairs(spark, sf).where("est = ref")
+    own = pairs(spark, sf).select("est", "ref", "cosine").join(F.broadcast(hungarian_match(spark, sf).select("est", "ref")), ["est", "ref"])
     k = F.broadcast(spark.createDataFrame([(x,) for x in TAUS], "threshold double"))
     hit = F.count_if(F.col("cosine") >= F.col("threshold"))
     return own.crossJoin(k).groupBy("threshold").agg(hit.alias("tp"), F.count_if(F.col("cosine") < F.col("threshold")).alias("fp"), (F.lit(10) - hit).alias("fn"))
 
 
-@query("hungarian_match")
+@query("hungarian_match", f"{_BEST} SELECT CAST(est AS INTEGER) AS est, CAST(ref AS INTEGER) AS ref, round(cosine, 6) AS cosine FROM o")
 def hungarian_match(spark, sf):
     rows = pairs(spark, sf).collect()  # signatures x signatures
     est, ref = sorted({r.est for r in rows}), sorted({r.ref for r in rows})
@@ -103,7 +110,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY round(mean, 9) DES
 SELECT o.id, k.cluster, k.n AS size, o.medoid FROM o JOIN k ON o.root = k.root""")
 def cluster_components(spark, sf):
     p = profiles(spark, sf)
-    c = similarity.pairwise(p, p).select(F.col("est").alias("a"), F.col("ref").alias("b"), F.col("cosine").alias("s")).persist()
+    c = similarity.pairwise(p, p).select(F.col("est").alias("a"), F.col("ref").alias("b"), F.col("cosine").alias("s"))
+    c = graph.written(c)
     joined = graph.components(c.where("s >= 0.975"))
     label = c.select(F.col("a").alias("id")).distinct().join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     groups = label.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("cluster", F.dense_rank().over(Window.orderBy(F.col("size").desc(), "root")).cast("bigint"))
@@ -113,19 +121,21 @@ def cluster_components(spark, sf):
     return mean.withColumn("medoid", medoid).join(groups, "root").select("id", "cluster", "size", "medoid")
 
 
-@query("silhouette_cosine", f"""WITH v AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 120),
+@query("silhouette_cosine", f"""WITH v AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 n AS (SELECT vec_id, label, c, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM v),
 d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, b.vec_id AS j, 1 - sum(a.x * b.x) AS d FROM n a JOIN n b ON a.c = b.c WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
 m AS (SELECT i, li, lj, avg(d) AS d FROM d GROUP BY 1, 2, 3), s AS (SELECT i, li, max(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM m GROUP BY 1, 2)
 SELECT i AS vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
 def silhouette_cosine(spark, sf):
-    """Silhouettes of the first 120 vectors: the operator's input is a consensus of few signatures."""
-    v = t(spark, sf, "embeddings").where("vec_id < 120").select("vec_id", "label", F.posexplode("embedding").alias("c", "x")).withColumn("x", F.col("x").cast("double"))
+    """Silhouettes of all vectors: a unit vector's mean distance to a label is 1 less its product with the label's mean, so no pairs are made."""
+    v = t(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("c", "x")).withColumn("x", F.col("x").cast("double"))
     n = v.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("vec_id"))))
-    a, b = n.select(F.col("vec_id").alias("i"), F.col("label").alias("li"), "c", F.col("x").alias("xi")), n.select(F.col("vec_id").alias("j"), F.col("label").alias("lj"), "c", F.col("x").alias("xj"))
-    d = a.join(b, "c").where("i <> j").groupBy("i", "li", "lj", "j").agg((1 - F.sum(F.col("xi") * F.col("xj"))).alias("d"))
-    m = d.groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
-    s = m.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
+    sums = n.groupBy(F.col("label").alias("lj"), "c").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("m"))
+    met = n.join(sums, "c").groupBy(F.col("vec_id").alias("i"), F.col("label").alias("li"), "lj").agg(F.sum(F.col("x") * F.col("s")).alias("p"), F.max("m").alias("m"))
+    own = F.col("li") == F.col("lj")
+    # a vector's product with itself is 1
+    d = met.withColumn("d", 1 - F.when(own, F.try_divide(F.col("p") - 1, F.col("m") - 1)).otherwise(F.col("p") / F.col("m")))
+    s = d.groupBy("i").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
     return s.select(F.col("i").alias("vec_id"), R6(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 
@@ -325,18 +335,22 @@ def roster_share(spark, sf):
 
 
 ARMS = [(str(c), a, s, e) for c in range(1, 6) for a, s, e in (("p", 1, 400_000), ("q", 400_001, 1_000_000))]
-_SEG = """s AS (SELECT l_suppkey % 30 AS sample, CAST(1 + l_orderkey % 5 AS VARCHAR) AS chromosome, CAST(l_partkey * 400 + 1 AS BIGINT) AS start, CAST(l_partkey * 400 + l_quantity * 4000 AS BIGINT) AS "end", CAST(l_linenumber % 5 AS INTEGER) AS state, CAST(l_linenumber % 3 AS INTEGER) AS minor_cn FROM lineitem WHERE l_partkey < 2000)"""
-_ARMS = "a(chromosome, arm, s0, e0) AS (VALUES " + ", ".join(f"('{c}','{a}',{s},{e})" for c, a, s, e in ARMS) + ")"
-_PLOH = "p AS (SELECT sample, CAST(sum(CASE WHEN minor_cn = 0 AND state > 0 THEN \"end\" - start + 1 ELSE 0 END) AS DOUBLE) / 50000000.0 AS ploh FROM s GROUP BY 1)"
-_ANEU = """b AS (SELECT s.sample, s.chromosome, a.arm, sum(CAST(state * (least("end", e0) - greatest(start, s0) + 1) AS DOUBLE) / (e0 - s0 + 1)) AS total FROM s JOIN a ON s.chromosome = a.chromosome AND start <= e0 AND "end" >= s0 GROUP BY 1, 2, 3),
-o AS (SELECT sample, chromosome, sum(CASE WHEN round_even(round(total - 2, 9), 0) <> 0 THEN 1 ELSE 0 END) AS off, count(*) AS arms FROM b GROUP BY 1, 2), n AS (SELECT sample, sum(CASE WHEN off = arms AND arms > 1 THEN off * 0.5::DOUBLE ELSE CAST(off AS DOUBLE) END) AS aneuploidy FROM o GROUP BY 1)"""
+_SEG = """s AS (SELECT l_suppkey % 30 AS sample, 'chr' || CASE WHEN l_orderkey % 6 = 5 THEN 'X' ELSE CAST(1 + l_orderkey % 6 AS VARCHAR) END AS chromosome, CASE WHEN l_suppkey % 2 = 0 AND l_orderkey % 97 = 0 THEN 1 ELSE CAST(l_partkey % 2000 * 400 + 1 AS BIGINT) END AS start,
+CASE WHEN l_suppkey % 2 = 0 AND l_orderkey % 97 = 0 THEN 1000000 ELSE CAST(l_partkey % 2000 * 400 + l_quantity * 4000 AS BIGINT) END AS "end", CASE WHEN l_linenumber < 7 THEN CAST(l_linenumber % 5 AS INTEGER) END AS state, CASE WHEN l_orderkey % 13 > 0 THEN CAST(l_linenumber % 3 AS INTEGER) END AS minor_cn FROM lineitem)"""
+_ARMS = "a(chromosome, arm, s0, e0) AS (VALUES " + ", ".join(f"('chr{c}','{a}',{s},{e})" for c, a, s, e in ARMS) + ")"
+_PLOH = "p AS (SELECT sample, CAST(sum(CASE WHEN chromosome <> 'chrX' AND state >= 1 AND minor_cn IS NOT NULL AND least(state - minor_cn, minor_cn) = 0 THEN \"end\" - start + 1 ELSE 0 END) AS DOUBLE) / 50000000.0 AS ploh FROM s GROUP BY 1)"
+_ANEU = """w AS (SELECT sample, chromosome, bool_or(start <= 1 AND "end" >= 1000000) AS whole FROM s WHERE state IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT s.sample, s.chromosome, sum(state * CASE WHEN whole THEN CAST(0.5 AS DOUBLE) ELSE CAST(least("end", e0) - greatest(start, s0) + 1 AS DOUBLE) / (e0 - s0 + 1) END) AS total FROM s JOIN w ON s.sample = w.sample AND s.chromosome = w.chromosome JOIN a ON s.chromosome = a.chromosome AND start <= e0 AND "end" >= s0 WHERE state IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT sample, count(*) FILTER (round_even(round(total - 2, 9), 0) <> 0) AS n FROM b GROUP BY 1), n AS (SELECT d.sample, CAST(coalesce(c.n, 0) AS DOUBLE) AS aneuploidy FROM (SELECT DISTINCT sample FROM s) d LEFT JOIN c ON d.sample = c.sample)"""
 
 
 def hrd_inputs(spark, sf):
-    p = F.col("l_partkey")
-    s = t(spark, sf, "lineitem").where(p < 2000).select(
-        (F.col("l_suppkey") % 30).alias("sample"), (1 + F.col("l_orderkey") % 5).cast("string").alias("chromosome"), (p * 400 + 1).alias("start"), (p * 400 + F.col("l_quantity") * 4000).cast("bigint").alias("end"),
-        (F.col("l_linenumber") % 5).alias("state"), (F.col("l_linenumber") % 3).alias("minor_cn"),
+    p, key = F.col("l_partkey") % 2000, F.col("l_orderkey")
+    whole = (F.col("l_suppkey") % 2 == 0) & (key % 97 == 0)
+    s = t(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 30).alias("sample"), F.concat(F.lit("chr"), F.when(key % 6 == 5, "X").otherwise((1 + key % 6).cast("string"))).alias("chromosome"),
+        F.when(whole, 1).otherwise(p * 400 + 1).cast("bigint").alias("start"), F.when(whole, 1_000_000).otherwise(p * 400 + F.col("l_quantity") * 4000).cast("bigint").alias("end"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") % 5).alias("state"), F.when(key % 13 > 0, F.col("l_linenumber") % 3).alias("minor_cn"),
     )
     return s, spark.createDataFrame(ARMS, "chromosome string, arm string, arm_start long, arm_end long")
 
@@ -497,12 +511,12 @@ def gmm_em_step(spark, sf):
     return s.select(R6(c("na") / (c("na") + c("nb"))).alias("weight_low"), R6(c("sa") / c("na")).alias("mean_low"), R6(c("sb") / c("nb")).alias("mean_high"), F.round(c("qa") / c("na") - (c("sa") / c("na")) * (c("sa") / c("na")), 4).alias("var_low"), F.round(c("qb") / c("nb") - (c("sb") / c("nb")) * (c("sb") / c("nb")), 4).alias("var_high"))
 
 
-_EV = "e AS (SELECT CAST(p_partkey % 12 + 1 AS INTEGER) AS k, CAST(p_partkey // 12 % 3 AS INTEGER) AS fold, CAST(p_partkey // 36 AS INTEGER) AS seed, p_retailprice AS test, CAST((p_partkey * 7919) % 1009 AS DOUBLE) AS train FROM part WHERE p_partkey < 180)"
+_EV = "e AS (SELECT CAST(p_partkey % 12 + 1 AS INTEGER) AS k, CAST(p_partkey // 12 % 3 AS INTEGER) AS fold, CAST(p_partkey // 36 AS INTEGER) AS seed, p_retailprice AS test, CAST((p_partkey * 7919) % 1009 AS DOUBLE) AS train FROM part)"
 
 
 def evidence(spark, sf):
     p = F.col("p_partkey")
-    return t(spark, sf, "part").where(p < 180).select((p % 12 + 1).cast("int").alias("k"), (F.floor(p / 12) % 3).cast("int").alias("fold"), F.floor(p / 36).cast("int").alias("seed"), F.col("p_retailprice").alias("test"), ((p * 7919) % 1009).cast("double").alias("train"))
+    return t(spark, sf, "part").select((p % 12 + 1).cast("int").alias("k"), (F.floor(p / 12) % 3).cast("int").alias("fold"), F.floor(p / 36).cast("int").alias("seed"), F.col("p_retailprice").alias("test"), ((p * 7919) % 1009).cast("double").alias("train"))
 
 
 @query("fold_seed_aggregate", f"WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY k, fold ORDER BY train, seed) AS i FROM e) SELECT k, round(sum(test), 6) AS deviance FROM r WHERE i = 1 GROUP BY 1")

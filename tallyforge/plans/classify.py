@@ -218,22 +218,22 @@ def parse_stats(spark, sf):
 
 
 @query("tabular_filters", """WITH o AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS pos, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN '-' ELSE 'ac' END AS ref, CASE WHEN o_orderkey % 3 = 0 THEN 'G' ELSE 'Tt' END AS alt,
-CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey + 1 AS VARCHAR) END AS e, CASE o_orderpriority WHEN '1-URGENT' THEN 'Silent' WHEN '2-HIGH' THEN 'Missense_Mutation' WHEN '3-MEDIUM' THEN 'Intron' ELSE 'Other' END AS k FROM orders),
+CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey + 1 AS VARCHAR) END AS e, CASE o_orderpriority WHEN '1-URGENT' THEN 'Silent' WHEN '2-HIGH' THEN 'Missense_Mutation' WHEN '3-MEDIUM' THEN 'Intron' WHEN '5-LOW' THEN 'RNA' ELSE 'Frame_Shift_Del' END AS k FROM orders),
 p AS (SELECT *, TRY_CAST(pos AS BIGINT) AS start, coalesce(TRY_CAST(e AS BIGINT), TRY_CAST(pos AS BIGINT) + length(ref) - 1) AS last FROM o)
-SELECT CASE WHEN k = 'Other' THEN 'class' WHEN start IS NULL THEN 'invalid_pos' WHEN NOT regexp_full_match(upper(ref), '[ACGTN]+') THEN 'unusable_allele' WHEN last - start + 1 <> length(ref) THEN 'length_mismatch' ELSE 'ok' END AS reason, count(*) AS n FROM p GROUP BY 1""")
+SELECT CASE WHEN k IN ('Silent', 'Frame_Shift_Del') THEN 'classification' WHEN start IS NULL THEN 'invalid_pos' WHEN NOT regexp_full_match(upper(ref), '[ACGTN]+') THEN 'unusable_allele' WHEN last - start + 1 <> length(ref) THEN 'length_mismatch' ELSE 'ok' END AS reason, count(*) AS n FROM p GROUP BY 1""")
 def tabular_filters(spark, sf):
     k, key = F.col("o_orderpriority"), F.col("o_orderkey")
     rows = t(spark, sf, "orders").select(
         F.lit("1").alias("Chromosome"), F.when(key % 5 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("Start_Position"), F.when(key % 6 == 0, (F.col("o_custkey") + 1).cast("string")).alias("End_Position"),
         F.when(key % 4 == 0, "A").when(key % 4 == 1, "-").otherwise("ac").alias("Reference_Allele"), F.when(key % 3 == 0, "G").otherwise("Tt").alias("Tumor_Seq_Allele2"),
-        F.when(k == "1-URGENT", "Silent").when(k == "2-HIGH", "Missense_Mutation").when(k == "3-MEDIUM", "Intron").otherwise("Other").alias("Variant_Classification"),
+        F.when(k == "1-URGENT", "Silent").when(k == "2-HIGH", "Missense_Mutation").when(k == "3-MEDIUM", "Intron").when(k == "5-LOW", "RNA").otherwise("Frame_Shift_Del").alias("Variant_Classification"),
     )
     return variants.parse_statistics(variants.parse_table(rows, "Chromosome", "Start_Position", "Reference_Allele", "Tumor_Seq_Allele2", "End_Position", "Variant_Classification"))
 
 
 def caller_table(spark, sf):
     q = F.col("l_quantity").cast("int")
-    return t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), F.lit("1").alias("chr"), F.col("l_partkey").alias("startpos"), (F.col("l_partkey") + F.col("l_suppkey") - 3).alias("endpos"), (q % 6).alias("tcn"), F.when(q % 7 != 0, q % 4).alias("bcn"))
+    return t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), F.lit("1").alias("Chromosome"), F.col("l_partkey").alias("Start Position"), (F.col("l_partkey") + F.col("l_suppkey") - 3).alias("End Position"), (q % 6).alias("Tumour TCN"), F.when(q % 7 != 0, q % 4).alias("Tumour BCN"))
 
 
 @query("segments_caller", """WITH s AS (SELECT l_returnflag AS sample, l_partkey AS start, l_partkey + l_suppkey - 3 AS "end", CAST(l_quantity AS INTEGER) % 6 AS tcn, CASE WHEN CAST(l_quantity AS INTEGER) % 7 <> 0 THEN CAST(l_quantity AS INTEGER) % 4 END AS bcn FROM lineitem),
@@ -243,6 +243,19 @@ def segments_caller(spark, sf):
     return segments.canonical(caller_table(spark, sf)).fillna(-99, ["minor", "major"]).groupBy("sample", "minor", "major", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TYPES = ("copy neutral LOH", "amp LOH", "hemizygous del LOH", "loss", "copy neutral", "gain", "other")
+
+
+@query("segments_pcawg", """WITH s AS (SELECT l_returnflag AS sample, CAST(l_quantity AS INTEGER) % 4 AS n, CAST(l_partkey % 7 AS INTEGER) AS k FROM lineitem),
+m AS (SELECT *, CASE WHEN k < 3 OR (k = 3 AND n < 2) THEN 0 WHEN k IN (4, 5) THEN 1 END AS minor, CASE WHEN k < 3 OR (k = 3 AND n < 2) THEN n WHEN k IN (4, 5) THEN n - 1 END AS major,
+CASE WHEN k = 6 THEN 'unsupported_type' WHEN (k < 3 AND n = 0) OR (k IN (4, 5) AND n < 2) OR (k = 3 AND n >= 2) THEN 'type_total_mismatch' END AS reason FROM s)
+SELECT sample, coalesce(minor, -99) AS minor, coalesce(major, -99) AS major, reason, count(*) AS n FROM m GROUP BY 1, 2, 3, 4""")
+def segments_pcawg(spark, sf):
+    names = F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    rows = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), F.lit("1").alias("chromosome"), F.lit(1).alias("chromosome_start"), F.lit(9).alias("chromosome_end"), (F.col("l_quantity").cast("int") % 4).alias("copy_number"), names.alias("mutation_type"))
+    return segments.canonical(rows).fillna(-99, ["minor", "major"]).groupBy("sample", "minor", "major", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sv_from_bedpe", """WITH s AS (SELECT o_orderstatus AS sample, o_custkey % 5 AS c1, (o_custkey + o_orderkey) % 5 AS c2, o_custkey AS s1, o_custkey + o_orderkey % 2500 AS s2, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS t1, CASE WHEN o_orderkey % 3 = 0 THEN '+' ELSE '-' END AS t2 FROM orders),
 k AS (SELECT *, CASE WHEN c1 <> c2 THEN 'translocation' WHEN t1 = '+' AND t2 = '+' THEN 'deletion' WHEN t1 = '-' AND t2 = '-' THEN 'tandem-duplication' ELSE 'inversion' END AS svtype, abs(s1 - s2) AS size FROM s)
 SELECT sample, svtype, CASE WHEN svtype <> 'translocation' AND size < 1000 THEN 'too_short' END AS reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bases FROM k GROUP BY 1, 2, 3""")
@@ -256,13 +269,13 @@ def sv_from_bedpe(spark, sf):
 
 
 _LETTERS, _AS_BASES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACCATGGCATGCANTGCATTGCATGCACCATGGCATGCANTGCATTGCATGC"
-_SEQ = "SELECT doc_id, translate(left(text, 4000), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACCATGGCATGCANTGCATTGCATGCACCATGGCATGCANTGCATTGCATGC') AS seq FROM documents"
+_SEQ = "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACCATGGCATGCANTGCATTGCATGCACCATGGCATGCANTGCATTGCATGC') AS seq FROM documents"
 
 
 def sequences(spark, sf):
-    """Documents' first 4000 characters as sequences: the synthetic genome of the context queries."""
+    """Documents as sequences: the synthetic genome of the context queries."""
     d = t(spark, sf, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("chrom"), F.translate(F.substring("text", 1, 4000), _LETTERS, _AS_BASES).alias("seq"))
+    return d.select(F.col("doc_id").cast("string").alias("chrom"), F.translate("text", _LETTERS, _AS_BASES).alias("seq"))
 
 
 @query("context_lookup", f"""WITH g AS ({_SEQ}), v AS (SELECT l_orderkey % 200 AS doc, l_partkey AS pos, {_B('l_suppkey')} AS ref FROM lineitem),

@@ -15,10 +15,12 @@ SIGNATURES = {
     "FACETS": ("chrom", "start", "end", "tcn.em", "lcn.em"),
     "SEQUENZA": ("chromosome", "start.pos", "end.pos", "A", "B", "CNt"),
     "ABSOLUTE": ("Chromosome", "Start", "End", "Modal_HSCN_1", "Modal_HSCN_2"),
-    "ASCAT_NGS": ("chr", "startpos", "endpos", "tcn", "bcn"),
+    "ASCAT_NGS": ("Chromosome", "Start Position", "End Position", "Tumour TCN", "Tumour BCN"),
     "ASCAT": ("chr", "startpos", "endpos", "nMajor", "nMinor"),
-    "PCAWG": ("chromosome", "start", "end", "total_cn", "major_cn", "minor_cn"),
+    "PCAWG": ("chromosome", "chromosome_start", "chromosome_end", "copy_number", "mutation_type"),
 }
+#: PCAWG's types that have lost an allele, and those that have both.
+PCAWG_LOST, PCAWG_BOTH = ("copy neutral LOH", "amp LOH", "hemizygous del LOH"), ("copy neutral", "gain")
 
 
 def caller_of(columns: list[str]) -> str:
@@ -44,12 +46,18 @@ def canonical(table: DataFrame, caller: str = "auto", chrom: str | None = None)
     sample = c("sample").cast("string") if "sample" in table.columns else F.lit("sample")
     where = [sample.alias("sample"), c(chrom or names[0]).cast("string").alias("chrom"), F.expr(f"try_cast(`{names[1]}` as bigint)").alias("start"), F.expr(f"try_cast(`{names[2]}` as bigint)").alias("end")]
     bad = F.lit(None).cast("string")
-    if caller in ("ASCAT", "PCAWG"):
-        major, minor = (num("nMajor"), num("nMinor")) if caller == "ASCAT" else (num("major_cn"), num("minor_cn"))
+    if caller == "ASCAT":
+        major, minor = num("nMajor"), num("nMinor")
+    elif caller == "PCAWG":
+        total, kind = num("copy_number"), F.coalesce(F.trim("mutation_type"), F.lit(""))
+        lost, loss, both = kind.isin(*PCAWG_LOST), kind == "loss", kind.isin(*PCAWG_BOTH)
+        minor = F.when(lost | (loss & total.isin(0, 1)), 0).when(both, 1)
+        major = F.when(lost | (loss & total.isin(0, 1)), total).when(both, total - 1)
+        bad = F.when(~(lost | loss | both), "unsupported_type").when((lost & (total == 0)) | (both & (total < 2)) | (loss & (total >= 2)), "type_total_mismatch")
     elif caller == "ASCAT_NGS":
         # least() passes over nulls, but a missing allele leaves both unknown
-        minor = F.when(num("tcn").isNotNull() & num("bcn").isNotNull(), F.least(num("tcn") - num("bcn"), num("bcn")))
-        major = num("tcn") - minor
+        minor = F.when(num("Tumour TCN").isNotNull() & num("Tumour BCN").isNotNull(), F.least(num("Tumour TCN") - num("Tumour BCN"), num("Tumour BCN")))
+        major = num("Tumour TCN") - minor
     elif caller == "ABSOLUTE":
         major, minor = F.greatest(num("Modal_HSCN_1"), num("Modal_HSCN_2")), F.least(num("Modal_HSCN_1"), num("Modal_HSCN_2"))
     elif caller == "FACETS":
@@ -72,9 +80,9 @@ def canonical(table: DataFrame, caller: str = "auto", chrom: str | None = None)
 
 def _judged(rows: DataFrame) -> DataFrame:
     reason = (
-        F.when(F.col("start").isNull() | F.col("end").isNull(), "missing_position").when(F.col("end") < F.col("start"), "negative_length")
+        F.when(F.col("start").isNull() | F.col("end").isNull(), "missing_position").when(F.col("end") < F.col("start"), "negative_length").when(F.col("bad").isNotNull(), F.col("bad"))
         .when(F.col("minor").isNull() | F.col("major").isNull(), "missing_copy_number").when((F.col("minor") < 0) | (F.col("major") < 0), "negative_copy_number")
-        .when(F.col("minor") > F.col("major"), "order").otherwise(F.col("bad"))
+        .when(F.col("minor") > F.col("major"), "order")
     )
     return rows.withColumn("reason", reason).drop("bad")
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tallyforge.model import EngineError
 
 FORMATS = {".vcf": "vcf", ".tsv": "tsv", ".txt": "tsv", ".maf": "maf"}
-MAF_CLASSES = ("Missense_Mutation", "Nonsense_Mutation", "Silent", "Splice_Site", "Nonstop_Mutation", "Translation_Start_Site", "Intron", "3'UTR", "5'UTR")
+#: Classes of a MAF that are left out; any other class, and a null one, stays.
+MAF_EXCLUDED = (
+    "Frame_Shift_Del", "Frame_Shift_Ins", "In_Frame_Del", "In_Frame_Ins", "De_novo_Start_InFrame", "De_novo_Start_OutOfFrame", "Structural_Variation", "Silent", "Splice_Site",
+)
 
 
 def format_of(path: str, forced: str | None = None) -> tuple[str, bool]:
@@ -57,7 +60,7 @@ def parse_table(rows: DataFrame, chrom: str = "chrom", pos: str = "pos", ref: st
     last = F.coalesce(F.expr(f"try_cast(`{end}` as bigint)"), start + F.length(r) - 1) if end else start + F.length(r) - 1
     reason = F.when(start.isNull(), "invalid_pos").when(~r.rlike("^[ACGTN]+$") | ~a.rlike("^[ACGTN]+$"), "unusable_allele").when(last - start + 1 != F.length(r), "length_mismatch")
     if kind:
-        reason = F.when(~F.col(kind).isin(*MAF_CLASSES), "class").otherwise(reason)
+        reason = F.when(F.col(kind).isin(*MAF_EXCLUDED), "classification").otherwise(reason)
     return rows.select(F.col(chrom).alias("chrom"), start.alias("start"), last.alias("end"), r.alias("ref"), a.alias("alt"), reason.alias("reason"))
 
 
