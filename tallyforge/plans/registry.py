@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import analyse, classify
+from tallyforge.plans import analyse, classify, figure_frames
 
-QUERIES: dict = {**classify.Q, **analyse.Q}
-ORACLE: dict[str, str] = {**classify.SQL, **analyse.SQL}
+QUERIES: dict = {**classify.Q, **analyse.Q, **figure_frames.Q}
+ORACLE: dict[str, str] = {**classify.SQL, **analyse.SQL, **figure_frames.SQL}
