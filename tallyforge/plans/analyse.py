@@ -291,7 +291,7 @@ def points(spark, sf):
 
 @query("breakpoint_clusters")
 def breakpoint_clusters(spark, sf):
-    return segments.clustered(points(spark, sf).where("row % 7 = 0"), ["sample", "chrom"]).groupBy("sample", "chrom").agg(F.count_if("hot").alias("hot"), F.count(F.lit(1)).alias("n"))
+    return segments.clustered(points(spark, sf), ["sample", "chrom"]).groupBy("sample", "chrom").agg(F.count_if("hot").alias("hot"), F.count(F.lit(1)).alias("n"))
 
 
 @query("monotone_scan", f"WITH s AS (SELECT user_id AS g, event_id AS n, value AS s FROM events), d AS (SELECT g, s < lag(s) OVER (PARTITION BY g ORDER BY n) AS inv FROM s) SELECT g, CAST(count(*) FILTER (inv) AS BIGINT) AS inversions, count(*) AS n FROM d GROUP BY 1")
