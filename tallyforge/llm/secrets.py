@@ -5,10 +5,12 @@ the pieces between matches: splitting at a pattern and extracting it walk over
 the same leftmost matches, so lengths of pieces and matches add up to places.
 
 Further secrets are found by Shannon entropy: a window of `WINDOW` characters
-slides over each candidate string; its counts change by one character leaving
-and one entering, and the entropy is updated from these two counts alone.  Each
-character class of candidates has its own threshold.  Candidates that the
-allow-list matches, and those that overlap a base span, are suppressed.
+slides over each candidate string.  The counts of its characters are carried
+along, twelve to a number; a step takes one character out and one in, and
+updates the entropy from these two counts alone.  Each character class of
+candidates has its own threshold.  Windows that touch an allow-listed stretch
+or a base span are suppressed: the candidate is cut there and the pieces of a
+window or more are scanned.  A piece of plain words is suppressed as a whole.
 
 Everything is one projection: no shuffle, no state, no Python on the executors.
 """
@@ -33,60 +35,93 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy of a window in bits: hexadecimal, three character classes, two, one.
 THRESHOLDS = {"hex": 3.0, "three": 3.6, "two": 3.8, "one": 4.1}
-#: Candidates that aren't secrets: placeholders, paths and dashed or underscored words.
-ALLOW = r"(?i)example|sample|placeholder|dummy|lorem|changeme|0123456789|^[a-z]+([-_/=+][a-z]+)*[-_/=+]*$|^[-_=+/]+$|([A-Za-z0-9+/_=-])\1{7}"
+#: Stretches that aren't secrets: placeholders and, besides these, RUN or more of one character.  No capturing groups.
+ALLOW = r"(?i:example|sample|placeholder|dummy|lorem|changeme|0123456789)"
+RUN = 8
+#: Pieces that aren't secrets: paths and dashed or underscored words.
+WORDS = r"(?i)^[a-z]+([-_/=+][a-z]+)*[-_/=+]*$|^[-_=+/]+$"
+#: Counts of WINDOW at most in a number, their bits, and the first of the characters of a candidate.
+PACKED, BITS, LOWEST, LETTERS = 12, 5, ord("+"), ord("z") - ord("+") + 1
 MASK = "[SECRET]"
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+VALUED = "array<struct<start:bigint,kind:int,end:bigint,v:string>>"
 
 
-def _placed(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of a pattern; those whose group is shorter than `least` are dropped."""
+#: Spans that are gathered before they join the others, so that a text of many isn't copied with each.
+BLOCK = 256
+
+
+def _placed(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, value: bool = False) -> Column:
+    """Spans of a pattern, with what they cover if `value`; those whose group is shorter than `least` are dropped."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("found"))
+    kind_of = VALUED if value else SPAN
+    empty, blocks = F.expr(f"cast(array() as {kind_of})"), F.expr(f"cast(array() as array<{kind_of}>)")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"), blocks.alias("full"))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["p"])
         end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *([x["m"].alias("v")] if value else []))
+        fits, filled = F.length(x["g"]) >= least, F.size(acc["found"]) >= BLOCK
+        found = F.when(~F.coalesce(fits, F.lit(False)), acc["found"]).when(filled, F.array(span)).otherwise(F.concat(acc["found"], F.array(span)))
+        full = F.when(fits & filled, F.concat(acc["full"], F.array(acc["found"]))).otherwise(acc["full"])
+        return F.struct(end.alias("at"), found.alias("found"), full.alias("full"))
+
+    spans = F.aggregate(zipped, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["found"]))))
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
+
+
+def _pieces(candidates: Column, allow: str) -> Column:
+    """The candidates without their allow-listed stretches."""
+    letter = "[A-Za-z0-9+/_=-]"
+    stop = rf"{allow}|({letter})\1{{{RUN - 1},}}"
+    pattern = rf"{stop}|((?:(?!{allow}|({letter})\3{{{RUN - 1}}}){letter}){{{WINDOW},}}+)"
+
+    def cut(c):
+        inside = F.transform(_placed(c["v"], pattern, 3, group=2, least=WINDOW, value=True), lambda p: F.struct((p["start"] + c["start"]).alias("start"), p["kind"].alias("kind"), (p["end"] + c["start"]).alias("end"), p["v"].alias("v")))
+        return F.when(c["v"].rlike(stop), inside).otherwise(F.array(c))
 
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.flatten(F.transform(candidates, cut))
 
 
 def _windows(value: str) -> str:
-    """SQL: struct(h, a, b) of a candidate; a and b bound its windows of high entropy, -1 without one."""
-    w = WINDOW
-    g = "array(" + ", ".join(f"{k * math.log2(k) if k else 0.0!r}D" for k in range(w + 2)) + ")"
-    inner = f"substring({value}, greatest(i - {w} + 1, 0) + 1, least(i, {w} - 1))"
-    before = f"substring({value}, i - {w} + 1, {w})"
-    here, gone = f"substring({value}, i + 1, 1)", f"substring({value}, i - {w} + 1, 1)"
-    n = f"(length({inner}) - length(replace({inner}, {here}, '')))"
-    m = f"(length({before}) - length(replace({before}, {gone}, '')))"
-    h = f"(acc.h + element_at({g}, {n} + 2) - element_at({g}, {n} + 1) - if(i >= {w}, element_at({g}, {m} + 1) - element_at({g}, {m}), 0D))"
-    t = THRESHOLDS
+    """SQL: struct(a, b) of a candidate, the bounds of its windows of high entropy, -1 without one."""
+    w, t = WINDOW, THRESHOLDS
+    xlogx = [k * math.log2(k) if k else 0.0 for k in range(w + 2)]
+    gain = "array(" + ", ".join(f"{b - a!r}D" for a, b in zip(xlogx, xlogx[1:])) + ")"
     classes = f"(cast({value} rlike '[a-z]' as int) + cast({value} rlike '[A-Z]' as int) + cast({value} rlike '[0-9]' as int))"
     least = f"(case when {value} rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' and {classes} = 2 then {t['hex']}D when {classes} = 3 then {t['three']}D when {classes} = 2 then {t['two']}D else {t['one']}D end)"
+    places = f"transform(split({value}, ''), x -> named_struct('w', cast((ascii(x) - {LOWEST}) div {PACKED} as int), 's', {BITS} * ((ascii(x) - {LOWEST}) % {PACKED})))"
+    # the character that comes, the one that goes (null before the first goes), and their counts
+    here, gone = "z.q[i]", f"get(z.q, i - {w})"
+    counted = lambda x: f"cast(shiftright(acc.n[{x}.w], {x}.s) & {(1 << BITS) - 1}L as int)"
+    n = f"({counted(here)} - if({here} = {gone}, 1, 0))"
+    h = f"(acc.h + {gain}[{n}] - if(i >= {w}, {gain}[{counted(gone)} - 1], 0D))"
+    counts = f"transform(acc.n, (k, j) -> k + if(j = {here}.w, shiftleft(1L, {here}.s), 0L) - if(j = {gone}.w, shiftleft(1L, {gone}.s), 0L))"
+    high = f"i >= {w - 1} and {math.log2(w)!r}D - h / {w} >= z.t"
     return (
-        f"aggregate(sequence(0, length({value}) - 1), named_struct('h', 0D, 'a', -1, 'b', -1, 't', {least}), (acc, i) -> "
-        f"transform(array({h}), h -> named_struct('h', h, 'a', if(acc.a < 0 and i >= {w - 1} and {math.log2(w)!r}D - h / {w} >= acc.t, i - {w - 1}, acc.a), "
-        f"'b', if(i >= {w - 1} and {math.log2(w)!r}D - h / {w} >= acc.t, i + 1, acc.b), 't', acc.t))[0])"
+        f"transform(array(named_struct('q', {places}, 't', {least})), z -> aggregate(sequence(0, size(z.q) - 1), "
+        f"named_struct('h', 0D, 'a', -1, 'b', -1, 'n', array_repeat(0L, {-(-LETTERS // PACKED)})), (acc, i) -> transform(array({h}), h -> named_struct("
+        f"'h', h, 'a', if(acc.a < 0 and {high}, i - {w - 1}, acc.a), 'b', if({high}, i + 1, acc.b), 'n', {counts}))[0], "
+        f"acc -> named_struct('a', acc.a, 'b', acc.b)))[0]"
     )
 
 
-def _entropy(text: str, base: str, allow: str) -> Column:
-    """Spans of high entropy in the candidates of `text` outside the spans of `base`."""
-    found = "__cand"
-    quoted = "'" + allow.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    spans = (
-        f"transform(filter(transform({found}, c -> named_struct('s', c.start, 'v', substring({text}, cast(c.start as int) + 1, cast(c.end - c.start as int)))), "
-        f"c -> not c.v rlike {quoted}), c -> named_struct('s', c.s, 'w', {_windows('c.v')}))"
+def _entropy(pieces: str, base: str) -> Column:
+    """Spans of high entropy in what the spans of `base` leave of the pieces."""
+    words = "'" + WORDS.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # between the base spans that meet a piece; these may lie in each other
+    gaps = (
+        "transform(sequence(0, size(o)), k -> transform(array(if(k = 0, c.start, greatest(c.start, array_max(transform(slice(o, 1, k), x -> x.end))))), "
+        "s -> named_struct('start', s, 'v', substring(c.v, cast(s - c.start as int) + 1, cast(greatest(if(k = size(o), c.end, get(o, k).start) - s, 0L) as int))))[0])"
     )
-    return F.expr(
-        f"filter(transform(filter({spans}, c -> c.w.a >= 0), c -> named_struct('start', c.s + c.w.a, 'kind', 3, 'end', c.s + c.w.b)), "
-        f"e -> not exists({base}, b -> b.start < e.end and e.start < b.end))"
+    left = (
+        f"flatten(transform({pieces}, c -> transform(array(filter({base}, b -> b.start < c.end and c.start < b.end)), "
+        f"o -> if(size(o) = 0, array(named_struct('start', c.start, 'v', c.v)), filter({gaps}, g -> length(g.v) >= {WINDOW})))[0]))"
     )
+    spans = f"transform(filter({left}, c -> not c.v rlike {words}), c -> named_struct('s', c.start, 'w', {_windows('c.v')}))"
+    return F.expr(f"transform(filter({spans}, c -> c.w.a >= 0), c -> named_struct('start', c.s + c.w.a, 'kind', 3, 'end', c.s + c.w.b))")
 
 
 def scan(documents: DataFrame, text: str = "text", allow: str = ALLOW) -> DataFrame:
@@ -106,8 +141,8 @@ def scan(documents: DataFrame, text: str = "text", allow: str = ALLOW) -> DataFr
     column = F.col("__text")
     assign = F.when(column.rlike(KEYWORDS), _placed(column, ASSIGN, 0, group=2, least=8)).otherwise(F.expr(f"cast(array() as {SPAN})"))
     with_base = inner.withColumn("base_spans", F.array_sort(F.concat(assign, _placed(column, ACCESS, 1), _placed(column, HEX, 2))))
-    with_candidates = with_base.withColumn("__cand", _placed(column, CANDIDATE, 3))
-    out = with_candidates.withColumn("secret_spans", F.array_sort(F.concat("base_spans", _entropy("__text", "base_spans", allow).cast(SPAN))))
+    with_pieces = with_base.withColumn("__cand", _placed(column, CANDIDATE, 3, value=True)).withColumn("__piece", _pieces(F.col("__cand"), allow))
+    out = with_pieces.withColumn("secret_spans", F.array_sort(F.concat("base_spans", _entropy("__piece", "base_spans").cast(SPAN))))
     return out.select(*[F.col(k).alias(c) for c, k in held.items()], "base_spans", "secret_spans")
 
 
@@ -162,10 +197,15 @@ def brute(text: str | None, allow: str = ALLOW) -> list[tuple[int, int, int]]:
             out.append((m.start(), 0, m.end()))
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
-    base = list(out)
-    for m in re.finditer(CANDIDATE, t):
+    blocked = set()
+    for m in re.finditer(rf"{allow}|([A-Za-z0-9+/_=-])\1{{{RUN - 1},}}", t):
+        blocked.update(range(*m.span()))
+    for s, _, e in out:
+        blocked.update(range(s, e))
+    free = "".join(" " if i in blocked else c for i, c in enumerate(t))
+    for m in re.finditer(CANDIDATE, free):
         v = m[0]
-        if re.search(allow, v):
+        if re.search(WORDS, v):
             continue
         classes = sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
         hexed = classes == 2 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", v)
@@ -176,7 +216,5 @@ def brute(text: str | None, allow: str = ALLOW) -> list[tuple[int, int, int]]:
             if math.log2(WINDOW) - sum(c * math.log2(c) for c in n.values()) / WINDOW >= least - 1e-12:
                 high.append(i)
         if high:
-            s, e = m.start() + high[0], m.start() + high[-1] + WINDOW
-            if not any(b[0] < e and s < b[2] for b in base):
-                out.append((s, 3, e))
+            out.append((m.start() + high[0], 3, m.start() + high[-1] + WINDOW))
     return sorted(out)

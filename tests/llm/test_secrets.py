@@ -10,9 +10,10 @@ def test_brute_force(spark):
     make = [
         lambda: "Password: " + some(b64, r.randrange(1, 20)), lambda: "api_key='" + some(b64, 12) + "'", lambda: "token=token: abcdefghij", lambda: "AKIA" + some("ABCXYZ0123", r.randrange(0, 30)),
         lambda: some(hx, r.randrange(20, 50)), lambda: some(b64, r.randrange(15, 60)), lambda: "ünï 🙂 the", lambda: "secret = short", lambda: "x" * 30, lambda: "/usr/local/share/some/file/name", lambda: "EXAMPLE" + some(b64, 20),
+        lambda: some(b64, 25) + "A" * r.randrange(6, 12) + some(b64, 25), lambda: some(b64, 30) + "Z" + some(hx, 34) + "Z" + some(b64, 30), lambda: some(b64, 22) + "sample" + some(b64, 5) + "Dummy" + some(b64, 24),
     ]
     docs = [(i, r.choice([" ", "\n", "é "]).join(r.choice(make)() for _ in range(r.randrange(0, 12))), 1) for i in range(300)]
-    docs += [(900, None, 1), (901, "", 1), (None, "AKIA" + "Z" * 12, 1), (950, "x", 1), (950, "x", 1), (902, "word " * 50000 + "token=abcdefgh12", 1)]
+    docs += [(900, None, 1), (901, "", 1), (None, "AKIA" + "Z" * 12, 1), (950, "x", 1), (950, "x", 1), (902, "word " * 50000 + "token=abcdefgh12", 1), (903, some(b64, 20000), 1), (904, " ".join(some(b64, 24) for _ in range(2000)), 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, cand int").repartition(3)
     got = S.scan(df).collect()
     assert len(got) == len(docs) and got[0].cand == 1
