@@ -11,7 +11,8 @@ frequent, by document frequency, in toxic than in clean documents of the
 sample; all tokens of clean documents are clean.
 
 The fit uses a bounded sample on the driver (`toxic_rows` and `clean_rows`,
-chosen by a hash of the id, none longer than `sample_chars`).  Scoring covers
+chosen by a hash of the id among those that have a document, and `sample_chars`
+of text in all, so that one text of any length can be in it).  Scoring covers
 all tokens of all texts in Arrow batches; a whole batch is one chain in which
 a document's first token forgets what stood before it, and the chain is
 computed in rows by the associativity of its 2x2 products.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tallyforge.llm import _text as X
 from tallyforge.llm._frames import appended, table
@@ -30,8 +32,10 @@ from tallyforge.llm._frames import appended, table
 PREFIXES = (3, 4, 5, 6)
 #: Features of fewer documents of the sample have no weight.
 LEAST = 3
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 900, 1800, 20_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 900, 1800, 16_000_000
 ROUNDS = 16
+#: Step of the transition and initial weights; they stand at frequencies when the ascent starts.
+CHAIN_RATE = 0.5
 FOLDS = 5
 
 RESULT = "score double, predicted int, n_toxic_tokens long, toxic_spans array<struct<start:long,end:long,probability:double>>"
@@ -137,14 +141,15 @@ class Field:
         return self.bias + self.weights[numbers].sum(0)
 
     def summary(self, probability: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Per document: the largest token's log odds and the log of the expected number of toxic tokens."""
+        """Per document: the largest token's log odds and the log of one more than the expected number of
+        toxic ones among the tokens that are toxic rather than clean; the others' would grow with a text's length."""
         n = len(first) - 1
         doc = np.repeat(np.arange(n), np.diff(first))
         top = np.zeros(n)
         np.maximum.at(top, doc, probability)
-        total = np.bincount(doc, weights=probability, minlength=n)
+        total = np.bincount(doc, weights=np.where(probability >= 0.5, probability, 0.0), minlength=n)
         top = np.clip(top, 1e-6, 1 - 1e-6)
-        return np.stack([np.ones(n), np.log(top / (1 - top)), np.log(total + 1e-6)], 1)
+        return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total)], 1)
 
     def documents(self, summary: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary @ self.score, -30, 30)))
@@ -219,13 +224,15 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = R
     labels = token_labels(train, np.concatenate([[0], np.cumsum(np.diff(first)[own])]), toxic[own])
     y = labels.astype(float)
     same = ~begins[1:]
-    seen = np.bincount((labels[:-1] * 2 + labels[1:])[same], minlength=4).reshape(2, 2) + 0.5
-    heads = np.bincount(labels[begins], minlength=2) + 0.5
-    field.transition, field.initial = np.log(seen / seen.sum(1, keepdims=True)), np.log(heads / heads.sum())
+    seen = np.bincount((labels[:-1] * 2 + labels[1:])[same], minlength=4).reshape(2, 2).astype(float)
+    heads = np.bincount(labels[begins], minlength=2).astype(float)
+    # the ascent starts at the frequencies of the states and their pairs
+    field.transition, field.initial = np.log((seen + 0.5) / (seen + 0.5).sum(1, keepdims=True)), np.log((heads + 0.5) / (heads + 0.5).sum())
     field.bias = 0.0
+    chain_square = [np.full((2, 2), 1e-8), np.full(2, 1e-8)]
     square, rate, decay = np.full(len(field.keys), 1e-8), 0.7, 1e-5
     for _ in range(rounds):
-        p = marginals(field.emission(train), begins, field.transition, field.initial)
+        p, pairs = marginals(field.emission(train), begins, field.transition, field.initial, pairs=True)
         error = y - p
         gradient = np.zeros(len(field.keys))
         for row in train:
@@ -234,6 +241,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = R
         gradient -= decay * field.weights
         square += gradient**2
         field.weights += rate * gradient / np.sqrt(square)
+        # likelihood gradients of the chain's weights: labelled counts less expected ones, half a
+        # count of each kind beside, so that what the sample never has isn't ruled out
+        at_heads = p[begins].sum()
+        chance = lambda w: np.exp(w) / np.exp(w).sum(-1, keepdims=True)
+        chain = (seen + 0.5 - pairs - chance(field.transition), heads + 0.5 - np.array([begins.sum() - at_heads, at_heads]) - chance(field.initial))
+        for total, g, w in zip(chain_square, chain, (field.transition, field.initial)):
+            total += g**2
+            w += CHAIN_RATE * g / np.sqrt(total)
         field.bias += 0.5 * float(np.sign(error.sum())) * min(1.0, abs(error.sum()) / (1 + y.sum()))
     rest = np.flatnonzero((np.arange(len(toxic)) % 3 == 2) & ~copies)
     probability = np.zeros(len(inverse))
@@ -255,17 +270,24 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = R
 
 
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """Fit on labelled rows that aren't held out; conflicting labels of an id count as toxic."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ids = []
+    """Fit on labelled rows that aren't held out; conflicting labels of an id
+    count as toxic, labels without a document don't count.  A text that doesn't
+    fit into what is left of `sample_chars` is passed over."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    sizes = documents.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.sum(F.length("text")).alias("size"))
+    known = known.join(sizes, "doc_id").persist(StorageLevel.DISK_ONLY)
+    size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids, room = [], sample_chars
     for value, limit in ((True, toxic_rows), (False, clean_rows)):
-        part = known.where((F.col("toxic") > 0) == value)
-        ids += [(r["doc_id"], value) for r in part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id").collect()]
+        for r in known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                ids.append((r["doc_id"], value))
+    known.unpersist()
     if not ids:
         return fit([], np.zeros(0, bool), np.zeros(0))
     chosen = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean"))
-    rows = documents.select("doc_id", "text").where(F.length("text") <= sample_chars).join(chosen, "doc_id").collect()
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").collect()
     rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
     rows.sort(key=lambda r: X.hash_word(str(r[0])))
     toxic = np.array([r[2] for r in rows], bool)

@@ -40,6 +40,48 @@ def test_held_out_accuracy(spark):
     assert spans and all(w.w.strip() == w.w and w.w for w in spans)
 
 
+def test_likelihood_ascent():
+    """The chain's weights move along the likelihood: its slope by differences is labelled less expected counts."""
+    r = np.random.default_rng(4)
+    n = 40
+    e, tr, pi, y = r.normal(size=n), r.normal(size=(2, 2)), r.normal(size=2), r.integers(0, 2, n)
+    begins = r.random(n) < 0.2
+    begins[0] = True
+
+    def log_likelihood(tr, pi):
+        own, a = 0.0, None
+        total = 0.0
+        for i in range(n):
+            own += e[i] * y[i] + (pi[y[i]] if begins[i] else tr[y[i - 1], y[i]])
+            if begins[i]:
+                total += 0.0 if a is None else np.logaddexp(*a)
+                a = pi + np.array([0, e[i]])
+            else:
+                a = np.array([np.logaddexp(a[0] + tr[0, k], a[1] + tr[1, k]) + e[i] * k for k in (0, 1)])
+        return own - total - np.logaddexp(*a)
+
+    _, pairs = T.marginals(e, begins, tr, pi, pairs=True)
+    for j in range(2):
+        for k in range(2):
+            step = np.zeros((2, 2))
+            step[j, k] = 1e-5
+            slope = (log_likelihood(tr + step, pi) - log_likelihood(tr - step, pi)) / 2e-5
+            seen = sum(y[i - 1] == j and y[i] == k for i in range(n) if not begins[i])
+            assert abs(slope - (seen - pairs[j, k])) < 1e-4
+
+
+def test_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, say(9000 if i in (151, 152) else 20) + (" vile" if i % 2 else "")) for i in range(300)], "doc_id long, text string")
+    # labels without documents take no place in the sample, and long texts are learned from
+    field = T.train(docs.where("doc_id >= 150"), labels, toxic_rows=60, clean_rows=60)
+    assert {g.predicted for g in T.scored(docs.where("doc_id % 2 = 1"), field).collect()} == {1}
+    none = T.train(docs, labels, sample_chars=0)
+    assert {g.score for g in T.scored(docs, none).collect()} == {0.5}
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     r = random.Random(2)
