@@ -2,7 +2,8 @@
 
 All distinct (host, path) pairs, with how often they occur and how their pages
 are labelled, are walked segment by segment, one level of every host's tree at
-a time.  A segment is generalised into a wildcard if its parent has many
+a time; what all paths of a node have in common is passed over in one step, so
+there are as many steps as levels with branches, however long a path is.  A segment is generalised into a wildcard if its parent has many
 children and it is a small part of them.  Sibling branches whose labels can't
 be told from their siblings' by a two-proportion test are merged.  The paths
 that end in one template share a smoothed share of bad labels, and a template
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm._frames import table, written
 
-#: Segments from this one on are taken as one.
-DEPTH = 8
 #: A wildcard's parent has at least so many children, and it holds at most so much of the parent.
 KIDS, PART = 8, 0.1
 #: Branches whose z score is smaller are alike.
@@ -51,7 +50,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _past_common(rows: DataFrame) -> DataFrame:
+    """The open rows moved past the segments that all open rows of their node start with.  An only
+    child is never a wildcard and has no siblings to be like, so these segments stand in the template."""
+    rest = F.slice("parts", F.col("at") + 1, F.size("parts"))
+    # the common start of a node's paths is that of the least and the greatest
+    nodes = rows.groupBy("host", "template").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    same = F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y))
+    common = F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size("lo")).cast("int")
+    moved = rows.join(nodes.select("host", "template", common.alias("common")), ["host", "template"])
+    passed = F.when(F.col("common") > 0, F.concat("template", F.lit("/"), F.array_join(F.slice("parts", F.col("at") + 1, F.col("common")), "/"))).otherwise(F.col("template"))
+    return moved.withColumns({"template": passed, "at": F.col("at") + F.col("common")}).drop("common")
+
+
+def templates(pages: DataFrame) -> DataFrame:
     """(host, path, template, n, labelled, bad, share) of each distinct pair.
 
     `pages` has host, path and bad (true, false, or null without a label).
@@ -60,13 +72,16 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     rows = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    rows = rows.withColumn("parts", F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, 1 << 30), "/")))).otherwise(parts))
-    rows = written(rows.withColumn("template", F.lit("")))
-    total = rows.agg(F.sum("bad"), F.sum("labelled"), F.max(F.size("parts"))).first()
+    # `at` is the number of segments that are in the template, the same for all rows of a node
+    rows = written(rows.withColumns({"parts": parts, "template": F.lit(""), "at": F.lit(0)}))
+    total = rows.agg(F.sum("bad"), F.sum("labelled")).first()
     overall = (total[0] or 0) / total[1] if total[1] else 0.0
-    for level in range(1, (total[2] or 0) + 1):
-        here = F.try_element_at("parts", F.lit(level)).alias("segment")
-        children = rows.where(F.size("parts") >= level).groupBy("host", "template", here).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    done, is_open = [], F.col("at") < F.size("parts")
+    while not rows.where(is_open).isEmpty():
+        done.append(rows.where(~is_open))
+        rows = _past_common(rows.where(is_open))
+        here = F.get("parts", F.col("at")).alias("segment")
+        children = rows.where(is_open).groupBy("host", "template", here).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
         judged = children.join(parents, ["host", "template"])
         wild = (F.col("kids") >= KIDS) & (F.col("n") <= F.col("all_n") * PART)
@@ -79,8 +94,11 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         token = F.when(wild, F.when(number, "#").otherwise("*")).when(alike, "~").otherwise(F.col("segment"))
         judged = judged.select("host", "template", "segment", token.alias("token"))
         deep = rows.withColumn("segment", here)
-        rows = deep.join(judged, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token"))).drop("segment", "token")
-        rows = written(rows)
+        deep = deep.join(judged, ["host", "template", "segment"], "left")
+        further = {"template": F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token")), "at": F.col("at") + F.col("token").isNotNull().cast("int")}
+        rows = written(deep.withColumns(further).select(rows.columns))
+    for part in done:
+        rows = rows.unionByName(part)
     ends = rows.groupBy("host", "template").agg(F.sum("labelled").alias("end_labelled"), F.sum("bad").alias("end_bad"))
     share = (F.col("end_bad") + F.lit(PRIOR * overall)) / (F.col("end_labelled") + F.lit(PRIOR))
     return rows.join(ends, ["host", "template"]).select("host", "path", "template", "n", "labelled", "bad", share.alias("share"))
@@ -129,8 +147,7 @@ def brute(pages, labels):
         s[2] += bad.get(i, False)
     tmpl, parts = {}, {}
     for h, p in stats:
-        x = re.sub("^/", "", p).split("/")
-        parts[h, p] = x if len(x) <= DEPTH else [*x[: DEPTH - 1], "/".join(x[DEPTH - 1 :])]
+        parts[h, p] = re.sub("^/", "", p).split("/")
         tmpl[h, p] = ""
     lab, tot = sum(s[1] for s in stats.values()), sum(s[2] for s in stats.values())
     overall = tot / lab if lab else 0.0
