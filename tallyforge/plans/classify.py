@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import channels as C
 from tallyforge.functions import sequence as S
-from tallyforge.operators import routing, tally
+from tallyforge.operators import catalogs, routing, tally
 from tallyforge.sources import genome, segments, variants
 
 Q: dict = {}
@@ -298,3 +298,54 @@ def doc_trinuc_catalog(spark, sf):
     m = frames[0].unionByName(frames[1]).unionByName(frames[2]).where(F.col("k").rlike("^[ACGT]{3}$"))
     folded = F.when(F.substring("k", 2, 1).isin("A", "G"), S.reverse_complement(F.col("k"))).otherwise(F.col("k"))
     return m.groupBy("source", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("source", folded.alias("channel")).agg(F.sum("n").alias("n"))
+
+
+_INDELS = f"""g AS ({_SEQ}), o AS (SELECT o_orderstatus AS sample, o_custkey % 200 AS doc, o_orderkey % 397 + 1 AS pos, o_orderkey % 4 + 1 AS n, o_custkey % 3 AS how, o_orderkey % 11 = 0 AS wrong, {_B('o_orderkey')} || {_B('o_custkey')} || 'CA' AS other FROM orders),
+j AS (SELECT o.*, seq, length(seq) AS total, substr(seq, CAST(pos AS BIGINT), 1) AS anchor FROM o JOIN g ON g.doc_id = o.doc),
+a AS (SELECT *, CASE WHEN how = 2 THEN substr(other, 1, CAST(n AS BIGINT)) ELSE substr(seq, CAST(pos + 1 AS BIGINT), CAST(n AS BIGINT)) END AS unit FROM j),
+r AS (SELECT *, how = 0 AS del, CASE WHEN how = 0 THEN pos + n ELSE pos END AS p0 FROM a WHERE regexp_full_match(anchor || unit, '[ACGT]+') AND length(unit) = n)"""
+
+
+def indel_records(spark, sf):
+    """Indels from orders: deletions of what the genome has, insertions of that or of other bases."""
+    o = t(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("sample"), (F.col("o_custkey") % 200).cast("string").alias("chrom"), (F.col("o_orderkey") % 397 + 1).alias("pos"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("n"),
+        (F.col("o_custkey") % 3).alias("how"), (F.col("o_orderkey") % 11 == 0).alias("wrong"), F.concat(base(F.col("o_orderkey")), base(F.col("o_custkey")), F.lit("CA")).alias("other"),
+    )
+    j = o.join(sequences(spark, sf), "chrom").withColumn("anchor", F.substring("seq", F.col("pos").cast("int"), F.lit(1)))
+    unit = F.when(F.col("how") == 2, F.substring("other", F.lit(1), F.col("n"))).otherwise(F.substring("seq", F.col("pos").cast("int") + 1, F.col("n")))
+    r = j.withColumn("unit", unit).where(F.concat("anchor", "unit").rlike("^[ACGT]+$") & (F.length("unit") == F.col("n")))
+    first = F.when(F.col("wrong"), F.translate("anchor", "ACGT", "CGTA")).otherwise(F.col("anchor"))
+    long = F.concat(first, "unit")
+    return r.select("sample", "chrom", "pos", F.when(F.col("how") == 0, long).otherwise(first).alias("ref"), F.when(F.col("how") == 0, first).otherwise(long).alias("alt"))
+
+
+_LEFT = " + ".join(f"CAST(pos > n * {k} AND substr(seq, CAST(pos - n * {k} + 1 AS BIGINT), CAST(n * {k} AS BIGINT)) = repeat(unit, {k}) AS INTEGER)" for k in range(1, 6))
+_RIGHT = " + ".join(f"CAST(p0 + n * {k} < total AND substr(seq, CAST(p0 + 1 AS BIGINT), CAST(n * {k} AS BIGINT)) = repeat(unit, {k}) AS INTEGER)" for k in range(1, 6))
+
+
+@query("id83_classify", f"""WITH {_INDELS}, w AS (SELECT *, {_LEFT} AS lc, {_RIGHT} AS rc FROM r),
+m AS (SELECT *, least(5, lc + rc) AS copies, CASE WHEN n > 1 AND lc + rc = 0 THEN greatest(
+coalesce(list_max(list_filter(range(1, CAST(n AS BIGINT)), lambda i: substr(seq, CAST(p0 + 1 AS BIGINT), i) = substr(unit, 1, i))), 0),
+coalesce(list_max(list_filter(range(1, CAST(n AS BIGINT)), lambda i: substr(seq || seq, CAST(total + pos AS BIGINT) - i + 1, i) = substr(unit, CAST(n AS BIGINT) - i + 1, i))), 0)) ELSE 0 END AS shared FROM w),
+l AS (SELECT sample, CASE WHEN p0 + n * (rc + 1) > total THEN 'context_bounds' WHEN wrong THEN 'anchor_mismatch' WHEN shared > 0 AND NOT del THEN 'insertion_microhomology' END AS reason,
+CASE WHEN n = 1 THEN '1:' || CASE WHEN del THEN 'Del' ELSE 'Ins' END || ':' || CASE WHEN unit IN ('C', 'G') THEN 'C' ELSE 'T' END || ':' || copies
+WHEN shared = 0 THEN least(n, 5) || ':' || CASE WHEN del THEN 'Del' ELSE 'Ins' END || ':R:' || copies ELSE least(n, 5) || ':Del:M:' || least(shared, 5) END AS channel FROM m)
+SELECT sample, coalesce(reason, channel) AS channel, count(*) AS n FROM l GROUP BY 1, 2""")
+def id83_classify(spark, sf):
+    rows = catalogs.indels(indel_records(spark, sf), sequences(spark, sf), 512)
+    return rows.groupBy("sample", F.coalesce("reason", "channel").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tally_face", f"""WITH g AS ({_SEQ}), v AS (SELECT l_returnflag AS sample, l_orderkey % 200 AS doc, 2 * (l_partkey % 500) + 1 AS pos, {_B('l_suppkey')} AS ref, {_B('l_suppkey + 1 + l_linenumber % 3')} AS alt FROM lineitem),
+x AS (SELECT sample, ref, alt, CASE WHEN pos >= 3 AND pos + 1 < length(seq) THEN substr(seq, CAST(pos - 2 AS BIGINT), 5) END AS c5 FROM v LEFT JOIN g ON g.doc_id = v.doc),
+f AS (SELECT sample, CASE WHEN ref IN ('A', 'G') THEN translate(reverse(c5), 'ACGT', 'TGCA') ELSE c5 END AS c, CASE WHEN ref IN ('A', 'G') THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS a
+FROM x WHERE regexp_full_match(c5, '[ACGT]+') AND substr(c5, 3, 1) = ref),
+n AS (SELECT sample, {_L96} AS channel, count(*) AS n FROM f GROUP BY 1, 2),
+k AS (SELECT x || '[' || m || ']' || y AS channel FROM (VALUES ('A'),('C'),('G'),('T')) p(x), (VALUES ('C>A'),('C>G'),('C>T'),('T>A'),('T>C'),('T>G')) q(m), (VALUES ('A'),('C'),('G'),('T')) r(y))
+SELECT s.sample, k.channel, CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT sample FROM v) s CROSS JOIN k LEFT JOIN n ON n.sample = s.sample AND n.channel = k.channel""")
+def tally_face(spark, sf):
+    v = t(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("sample"), (F.col("l_orderkey") % 200).cast("string").alias("chrom"), (F.col("l_partkey") % 500 * 2 + 1).alias("pos"), base(F.col("l_suppkey")).alias("ref"), base(F.col("l_suppkey") + 1 + F.col("l_linenumber") % 3).alias("alt"),
+    )
+    return catalogs.catalog(v, sequences(spark, sf), "SBS96", 512)

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 BIN, FLANK = 1 << 16, 8
 
 
-def chunked(sequences: DataFrame, size: int = BIN, flank: int = FLANK) -> DataFrame:
-    """(chrom, bin, first, seq, total) from (chrom, seq): chunk `bin` starts `flank` bases early, `first` is its 0-based start."""
+def chunked(sequences: DataFrame, size: int = BIN, flank: int = FLANK, wrap: bool = False) -> DataFrame:
+    """(chrom, bin, first, seq, total) from (chrom, seq): chunk `bin` starts `flank` bases early, `first` is its 0-based start.
+
+    With `wrap` the first chunk starts with the chromosome's last `flank` bases, at negative places.
+    """
     n = F.length("seq")
     rows = sequences.select("chrom", F.translate("seq", "acgtn", "ACGTN").alias("seq"), n.alias("total"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int"))).alias("bin"))
     first = F.greatest(F.col("bin") * size - flank, F.lit(0))
-    return rows.select("chrom", "bin", first.alias("first"), F.substring("seq", first + 1, F.least((F.col("bin") + 1) * size + flank, F.col("total")) - first).alias("seq"), "total")
+    part = F.substring("seq", first + 1, F.least((F.col("bin") + 1) * size + flank, F.col("total")) - first)
+    if wrap:
+        tail, lead = F.least(F.lit(flank), F.col("total")), F.col("bin") == 0
+        part = F.when(lead, F.concat(F.substring("seq", F.col("total") - tail + 1, tail), part)).otherwise(part)
+        first = F.when(lead, -tail).otherwise(first)
+    return rows.select("chrom", "bin", first.alias("first"), part.alias("seq"), "total")
 
 
 def with_context(variants: DataFrame, chunks: DataFrame, k: int = 2, size: int = BIN) -> DataFrame:
