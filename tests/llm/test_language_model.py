@@ -82,3 +82,32 @@ def test_no_ngram_is_cut(spark):
         for d, w in zip(docs, want):
             assert abs(got[d[0]].score - w[4]) < 1e-6 and got[d[0]].n_known == w[1]
     assert got[-7].score > got[-7].base_score + 5
+
+
+def test_disk(spark):
+    """Exchanged n-grams take few bytes a token, and score() leaves none of their exchanges behind."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{w}" for w in r.zipf(1.3, 400) % 50_000)) for i in range(1500)]
+    block = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(docs), np.int32)), pa.array(np.ones(len(docs), bool)), pa.array([d[1] for d in docs])], ["bucket", "train", "text"])
+    sent = sum(b.nbytes for b in L._asked(4, 3)(iter([block])))
+    assert sent < 12 * 401 * len(docs)
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2).localCheckpoint()
+    before = set(left())
+    out = L.score(df, bucket=1 << 20)
+    until = time.time() + 20
+    while (own := sum(n for f, n in left().items() if f not in before)) >= sent / 10 and time.time() < until:
+        time.sleep(0.5)
+    assert own < sent / 10
+    assert out.count() == len(docs)
