@@ -1,112 +1,40 @@
-"""Document fingerprints by consistent weighted sampling.
+"""Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
 A text's terms are its words between white space, A-Z lower-cased, weighted by
-how often they occur.  For each of `SAMPLES` samplers a term has r, c ~
-Gamma(2, 1) and b ~ U(0, 1), all from hashes of the term; for weight w
-
-    t = floor(ln w / r + b),   ln a = ln c - r (t + 1 - b)
-
-and the sampler keeps the (term, t) of least a.  Two texts keep the same pair
-with the probability of their generalised Jaccard similarity, so the share of
-equal entries estimates it.
+how often they occur.  Weights are whole numbers, so a term of weight w is the
+pairs (term, 1) to (term, w), and each of `SAMPLES` samplers orders all pairs by
+a hash and keeps the least one of the text's.  That is a consistent and uniform
+sample of term and weight: two texts keep the same pair with the probability of
+their generalised Jaccard similarity, so the share of equal entries estimates it.
+A sampler's hash is one to one on the pairs' 64-bit hashes.
 
 Documents are dealt into ranges of descending id and about equal bytes, with
 the first document of the following range as a guest behind the last, by the
 only shuffle that moves texts.  In its range a document sees the next one's
-text through a window.  Samples are then drawn in Arrow batches: a sample
-depends on a term and its weight only, so it is drawn once for each of these in
-a batch and gathered by the texts that have them.
-
-The form with DataFrame functions alone draws each sample for each text again
-(a grouping that shares them costs more than it saves) and exceeds the CPU
-limit with 64 samples; the README has its figures.
+text through a window.  Words, weights and samples are then aggregated in place,
+as the range is part of every grouping key.  A document's own facts (id, length,
+digest) go along as numbered rows among its words', so nothing is joined back.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text as X
-from tallyforge.llm._frames import cells, small_batches, table
+from tallyforge.llm._frames import cells, table
 
 SAMPLES = 64
 #: Bytes of text in a range, about, and ranges at most; beyond, ranges grow.
-RANGE, RANGES = 4 << 20, 500_000
-#: Bits of ln a after the point.
-SCALE = 1 << 20
-#: Terms that samples are drawn for, and gathered for, at a time.
-BLOCK, GATHER = 512, 4096
-
-_G = X.U64(0x9E3779B97F4A7C15)
-
-
-def _odd(samples: int) -> np.ndarray:
-    """Odd multipliers, two for each sampler."""
-    return X.mix((np.arange(2 * samples, dtype=X.U64) + X.U64(1)) * _G).reshape(2, -1) | X.U64(1)
-
-
-def _halves(terms: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, two uniforms of 23 bits) of each term and sampler."""
-    x = terms[:, None] * odd
-    x ^= x >> X.U64(29)
-    u = ((x.view(np.uint32) >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
-    return x, u[:, ::2], u[:, 1::2]
-
-
-def sketches(column, samples: int = SAMPLES) -> np.ndarray:
-    """(texts, samples): the names each text keeps; zeros for a text without words."""
-    words, first = X.hashed_words(column, X.SPACED)
-    n = len(first) - 1
-    out = np.zeros((n, samples), np.uint32)
-    if not len(words):
-        return out
-    text = np.repeat(np.arange(n), np.diff(first))
-    by = np.lexsort((words, text))
-    words, text = words[by], text[by]
-    new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (text[1:] != text[:-1])]))
-    weight = np.diff(np.append(new, len(words)))
-    words, text = words[new], text[new]
-    # distinct (term, weight), and each text's
-    by = np.lexsort((weight, words))
-    fresh = np.concatenate([[True], (words[by][1:] != words[by][:-1]) | (weight[by][1:] != weight[by][:-1])])
-    number = np.empty(len(words), np.int64)
-    number[by] = np.cumsum(fresh) - 1
-    terms, log_weights = words[by][fresh], np.log(weight[by][fresh].astype(float))
-    drawn = np.empty((len(terms), samples), np.int64)
-    for a in range(0, len(terms), BLOCK):
-        drawn[a : a + BLOCK] = draw(terms[a : a + BLOCK], log_weights[a : a + BLOCK], samples)
-    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    edge = np.append(begin, len(text))
-    least = np.full((len(begin), samples), np.iinfo(np.int64).max)
-    a = 0
-    while a < len(text):  # about GATHER terms at a time; a long text goes in parts
-        b = min(len(text), a + GATHER)
-        lo, hi = np.searchsorted(edge, a, side="right") - 1, np.searchsorted(edge, b, side="left")
-        part = np.minimum.reduceat(drawn[number[a:b]], np.maximum(edge[lo:hi] - a, 0), axis=0)
-        least[lo:hi] = np.minimum(least[lo:hi], part)
-        a = b
-    out[text[begin]] = (least & 0xFFFFFFFF).astype(np.uint32)
-    return out
-
-
-def draw(terms: np.ndarray, log_weights: np.ndarray, samples: int) -> np.ndarray:
-    """(terms, samples): numbers that order as ln a, with the pair's name in the low 32 bits."""
-    odd = _odd(samples)
-    x, u, v = _halves(terms, odd[0])
-    r = -np.log(u * v)
-    z = X.mix(x)
-    b = (z >> X.U64(41)).astype(np.float32) * np.float32(2.0**-23)
-    t = np.floor(log_weights.astype(np.float32)[:, None] / r + b)
-    _, u, v = _halves(terms, odd[1])
-    a = np.log(-np.log(u * v)) - r * (t + np.float32(1.0) - b)
-    name = (z ^ t.astype(np.int64).view(X.U64)) * _G >> X.U64(32)
-    # ln a is between -2047 and 2047, so it fits with 20 bits after the point
-    return (np.floor(np.maximum(a, np.float32(-2047.0)) * np.float32(SCALE)).astype(np.int64) << 32) | name.astype(np.int64)
+RANGE, RANGES = 2 << 20, 500_000
+
+_LOW = 0xFFFFFFFF
+
+
+def _keys(samples: int) -> list[int]:
+    """A signed 64-bit number for each sampler."""
+    return X.mix(np.arange(1, samples + 1, dtype=X.U64) * X.U64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
 
 
 def in_ranges(documents: DataFrame, size: int = RANGE) -> DataFrame:
@@ -123,9 +51,9 @@ def in_ranges(documents: DataFrame, size: int = RANGE) -> DataFrame:
     order = Window.orderBy("range")
     wanted = heads.select(F.col("range").alias("guest_of"), F.coalesce(F.lead("w").over(order), F.first("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("w"))
     meets = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (own == F.col("w.hash") if split else F.lit(True))
-    guests = rows.join(F.broadcast(wanted) if ranges <= 20_000 else wanted, meets).groupBy("guest_of").agg(F.max_by("text", own).alias("text"))
+    guests = rows.join(F.broadcast(wanted) if ranges <= 40_000 else wanted, meets).groupBy("guest_of").agg(F.max_by("text", own).alias("text"))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("guest_of").alias("range"), F.lit(True).alias("guest")))
-    dealt = dealt.repartition(min(-(-ranges // 3), 100_000), "range")
+    dealt = dealt.repartition(min(ranges, 100_000), "range")
     along = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), own.desc())
     placed = dealt.withColumns({"place": F.row_number().over(along), "next": F.lead("text").over(along), "far": F.lead("guest").over(along)})
     return placed.where("not guest").select("range", "place", "doc_id", "text", "next", "far")
@@ -137,36 +65,51 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def _signed(samples: int):
-    """Arrow function over rows in the order of their ranges and places; a row
-    whose following one is in the next batch waits for it."""
-
-    def run(batches):
-        held = None
-        for batch in X.slices(batches, size=1 << 23):
-            n = batch.num_rows
-            beyond = batch.column(4)  # the following text where it is in another range
-            far = np.flatnonzero(beyond.is_valid().to_numpy(zero_copy_only=False))
-            all_ = sketches(pa.concat_arrays([batch.column(2), batch.column(3), beyond.take(pa.array(far))]), samples)
-            own, change, follow = all_[:n], all_[n : 2 * n], np.empty_like(all_[:n])
-            follow[:-1], follow[far] = own[1:], all_[2 * n :]
-            facts = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(3).to_pylist()])], ["doc_id", "n_chars", "edited_sha256"])
-            if held is not None:
-                last, last_own, last_change = held
-                yield made(last, last_own, last_change, own[:1])
-            done = n if n - 1 in far else n - 1
-            held = None if done == n else (facts.slice(n - 1), own[-1:], change[-1:])
-            if done:
-                yield made(facts.slice(0, done), own[:done], change[:done], follow[:done])
-        if held is not None:  # not reached: the last row of a range is far
-            yield made(*held, held[1])
-
-    def made(facts, own, change, follow):
-        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int64)), samples).cast(pa.list_(pa.int64()))
-        near = lambda x, y: pa.array((x == y).mean(1))
-        return pa.RecordBatch.from_arrays([*facts.columns, lists(own), lists(change), near(own, change), near(own, follow)], [*facts.schema.names, "sketch", "edited_sketch", "near_edited", "near_next"])
-
-    return run
+def words(text: Column) -> Column:
+    return F.split(text, r"[\x20\x09-\x0D]+", -1)
+
+
+def _lowered(word: Column) -> Column:
+    """A-Z lower-cased; lower() does that, and quickly, where all is ASCII."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+#: Numbers of a document's rows: 0 to 2 are the words of its text, of the edited
+#: and of the following one; then come id, length and the digest's 8 parts.
+FACTS = 3
+
+
+def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(range, place, doc_id, n_chars, edited_sha256, sketch, edited_sketch, beyond_sketch)
+    from the result of in_ranges(); beyond_sketch is the following text's where it is `far`.
+    Sketches of texts without words are null."""
+    none = F.expr("cast(array() as array<string>)")
+    facts = F.array(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length("text").cast("string"), *[F.substring("__sha", 8 * i + 1, 8) for i in range(8)])
+    held = rows.withColumn("__e", edited(F.col("text"), F.col("next"))).withColumn("__sha", F.sha2("__e", 256))
+    held = held.select("range", "place", words(F.col("text")).alias("__w0"), words(F.col("__e")).alias("__w1"), F.when(F.col("far"), words(F.col("next"))).otherwise(none).alias("__w2"), facts.alias("__f"))
+    held = held.select("*", F.size("__w0").alias("__a"), (F.size("__w0") + F.size("__w1")).alias("__b"), (F.size("__w0") + F.size("__w1") + F.size("__w2")).alias("__c"))
+    flat = held.select("range", "place", "__a", "__b", "__c", F.posexplode(F.concat("__w0", "__w1", "__w2", "__f")).alias("__at", "__word")).where("__word <> ''")
+    number = F.when(F.col("__at") < F.col("__a"), 0).when(F.col("__at") < F.col("__b"), 1).when(F.col("__at") < F.col("__c"), 2).otherwise(F.col("__at") - F.col("__c") + FACTS)
+    fact = F.when(F.col("__at") < F.col("__c") + 2, F.col("__word").cast("bigint")).otherwise(F.conv("__word", 16, 10).cast("bigint"))
+    terms = flat.select("range", (F.col("place") * 16 + number).alias("row"), F.when(F.col("__at") < F.col("__c"), F.xxhash64(_lowered(F.col("__word")))).otherwise(fact).alias("term"))
+    weighed = terms.groupBy("range", "row", "term").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = weighed.select("range", "row", "term", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("weight"))).alias("w"))
+    pairs = pairs.select("range", "row", "term", F.xxhash64("term", "w").alias("pair"))
+    least = pairs.groupBy("range", "row").agg(F.min("term").alias("fact"), *[F.min(F.xxhash64(F.col("pair").bitwiseXOR(F.lit(key).cast("bigint")))).alias(f"s{k}") for k, key in enumerate(_keys(samples))])
+    tall = least.select("range", F.shiftright("row", 4).alias("place"), F.col("row").bitwiseAND(15).alias("number"), "fact", F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(_LOW)) for k in range(samples)]).alias("sketch"))
+    pick = lambda column, i: F.first(F.when(F.col("number") == i, F.col(column)), ignorenulls=True)
+    wide = tall.groupBy("range", "place").agg(
+        pick("fact", FACTS).alias("doc_id"), pick("fact", FACTS + 1).alias("n_chars"),
+        *[pick("fact", FACTS + 2 + i).alias(f"__{i}") for i in range(8)],
+        *[pick("sketch", i).alias(n) for i, n in enumerate(("sketch", "edited_sketch", "beyond_sketch"))],
+    )
+    digest = F.concat(*[F.lpad(F.lower(F.hex(f"__{i}")), 8, "0") for i in range(8)])
+    return wide.select("range", "place", "doc_id", "n_chars", digest.alias("edited_sha256"), "sketch", "edited_sketch", "beyond_sketch")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal entries of two sketches."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)).cast("double") / F.size(a)
 
 
 def hexed(sketch: Column) -> Column:
@@ -182,11 +125,13 @@ def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     document is its own next.  Columns other than doc_id (an integer) and text
     are ignored.
     """
-    small_batches(documents.sparkSession)
-    rows = in_ranges(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    # the window leaves each task's rows in the order of range and place
-    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited(F.col("text"), F.col("next")).alias("edited"), F.when(F.col("far"), F.col("next")).alias("beyond"))
-    return rows.mapInArrow(_signed(samples), "doc_id long, n_chars long, edited_sha256 string, sketch array<long>, edited_sketch array<long>, near_edited double, near_next double")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    none = F.array_repeat(F.lit(0).cast("bigint"), samples)
+    along = Window.partitionBy("range").orderBy("place")
+    full = signatures(in_ranges(rows), samples).withColumn("far", F.lead("place").over(along).isNull())
+    full = full.withColumns({n: F.coalesce(n, none) for n in ("sketch", "edited_sketch", "beyond_sketch")})
+    full = full.withColumn("following", F.when(F.col("far"), F.col("beyond_sketch")).otherwise(F.lead("sketch").over(along)))
+    return full.select("doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("following")).alias("near_next"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,27 +141,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute(text: str, samples: int = SAMPLES) -> list[int]:
     """The sketch in plain Python, for tests."""
-    import math
     import re
+    import struct
     from collections import Counter
 
-    u64, f = (1 << 64) - 1, np.float32
+    import xxhash
+
+    def hashed(raw, seed=42):
+        return xxhash.xxh64_intdigest(raw, seed)
+
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    terms = {X.hash_word(w): n for w, n in Counter(w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w).items()}
-    log = lambda x: np.log(np.array([x], f))[0]
-    odd = _odd(samples).tolist()
-    out = []
-    for k in range(samples):
-        best = None
-        for term, w in terms.items():
-            x, y = (term * o[k] & u64 for o in odd)
-            x, y = x ^ x >> 29, y ^ y >> 29
-            u = [f((v & 0xFFFFFFFF) >> 9) * f(1) + f(0.5) for v in (x, x >> 32, y, y >> 32)]
-            u = [v * f(2.0**-23) for v in u]
-            z = int(X.mix(np.array([x], X.U64))[0])
-            r, c, b = -log(u[0] * u[1]), log(-log(u[2] * u[3])), f(z >> 41) * f(2.0**-23)
-            t = np.floor(f(math.log(w)) / r + b)
-            got = (math.floor(max(c - r * (t + f(1) - b), f(-2047.0)) * f(SCALE)), ((z ^ int(t)) * int(_G) & u64) >> 32)
-            best = got if best is None else min(best, got)
-        out.append(best[1] if best else 0)
-    return out
+    pairs = []
+    for word, n in Counter(w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w).items():
+        term = hashed(hashed(word.encode()).to_bytes(8, "little"))
+        pairs += [hashed(struct.pack("<q", w), term) for w in range(1, n + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [min((signed(hashed((p ^ key & (1 << 64) - 1).to_bytes(8, "little"))) for p in pairs), default=0) & _LOW for key in _keys(samples)]

@@ -66,3 +66,13 @@ def test_error_of_a_row(spark):
         x, y = Counter(t.split()), Counter((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).split())
         off.append(g.near_edited - sum((x & y).values()) / sum((x | y).values()))
     assert (sum(e * e for e in off) / len(off)) ** 0.5 < 0.08
+
+
+def test_dataframe_functions_only(spark):
+    """No Python runs on the executors; only A-Z are lower-cased, whatever else a word has."""
+    texts = spark.range(4).selectExpr("id doc_id", "element_at(array('ÉA b B', 'Éa b b', 'éa b b', 'a B'), cast(id as int) + 1) text")
+    out = P.fingerprints(texts)
+    plan = out._jdf.queryExecution().toString()
+    assert not [x for x in ("Arrow", "Python", "Pandas") if x in plan]
+    got = {g.doc_id: list(g.sketch) for g in out.collect()}
+    assert got[0] == got[1] != got[2] and got == {k: P.brute(t) for k, t in enumerate(["Éa b b", "Éa b b", "éa b b", "a b"])}
