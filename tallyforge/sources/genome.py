@@ -40,4 +40,4 @@ def with_context(variants: DataFrame, chunks: DataFrame, k: int = 2, size: int =
 
 def context_reason(ref, context, k: int = 2):
     """Why a single-base record can't be classified in its context, or null."""
-    return F.when(context.isNull(), "context_bounds").when(~context.rlike("^[ACGT]+$"), "n_context").when(F.substring(context, k + 1, 1) != ref, "ref_mismatch")
+    return F.when(context.isNull(), "context_bounds").when(~context.rlike(r"^[ACGT]+\z"), "n_context").when(F.substring(context, k + 1, 1) != ref, "ref_mismatch")

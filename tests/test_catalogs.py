@@ -20,6 +20,21 @@ def test_sql_form(spark, name):
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["context_lookup", "tally_face", "id83_classify"])
+def test_line_ends(spark, tmp_path, name):
+    """Bases that a line end follows: no part of it is one of ACGT."""
+    con = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{SF}/{table}.parquet")
+    con.execute(f"COPY (SELECT d AS doc_id, repeat('a', d % 2) || repeat('abcde' || chr(10) || 'fgt' || chr(10), 300) AS text FROM range(200) r(d)) TO '{tmp_path}/documents.parquet'")
+    for table in ("orders", "lineitem", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    got = classify.Q[name](spark, str(tmp_path))
+    want = con.execute(classify.SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
 def test_indels(spark):
     #       0123456789...
     seq = "GACAAAATTCGCGTACGTTTGGACTGACCA"
