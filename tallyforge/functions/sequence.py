@@ -26,7 +26,7 @@ def _folded(context: Column, alt: Column) -> tuple[Column, Column]:
 def sbs96(trinucleotide: Column, alt: Column) -> Column:
     """Label such as A[C>T]G; null if a base isn't A, C, G or T or nothing changes."""
     c, a = _folded(trinucleotide, alt)
-    good = trinucleotide.rlike("^[ACGT]{3}$") & alt.rlike("^[ACGT]$") & (F.substring(trinucleotide, 2, 1) != alt)
+    good = trinucleotide.rlike(r"^[ACGT]{3}\z") & alt.rlike(r"^[ACGT]\z") & (F.substring(trinucleotide, 2, 1) != alt)
     return F.when(good, F.concat(F.substring(c, 1, 1), F.lit("["), F.substring(c, 2, 1), F.lit(">"), a, F.lit("]"), F.substring(c, 3, 1)))
 
 
@@ -52,14 +52,14 @@ def sbs384(trinucleotide: Column, alt: Column, strand: Column) -> Column:
 
 def sbs1536(pentanucleotide: Column, alt: Column) -> Column:
     c, a = _folded(pentanucleotide, alt)
-    good = pentanucleotide.rlike("^[ACGT]{5}$") & alt.rlike("^[ACGT]$") & (F.substring(pentanucleotide, 3, 1) != alt)
+    good = pentanucleotide.rlike(r"^[ACGT]{5}\z") & alt.rlike(r"^[ACGT]\z") & (F.substring(pentanucleotide, 3, 1) != alt)
     return F.when(good, F.concat(F.substring(c, 1, 2), F.lit("["), F.substring(c, 3, 1), F.lit(">"), a, F.lit("]"), F.substring(c, 4, 2)))
 
 
 def skip_reason(ref: Column, alt: Column) -> Column:
     """Why a record can't be classified, or null."""
     return (
-        F.when((F.length(ref) == 0) | (F.length(alt) == 0), "empty_allele").when(~ref.rlike("^[ACGT]+$") | ~alt.rlike("^[ACGT]+$"), "invalid_base").when(ref == alt, "ref_equals_alt")
+        F.when((F.length(ref) == 0) | (F.length(alt) == 0), "empty_allele").when(~ref.rlike(r"^[ACGT]+\z") | ~alt.rlike(r"^[ACGT]+\z"), "invalid_base").when(ref == alt, "ref_equals_alt")
     )
 
 

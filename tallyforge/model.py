@@ -33,7 +33,7 @@ def require(df: DataFrame, topic: str, **rules) -> DataFrame:
 def validate_variants(df: DataFrame) -> DataFrame:
     rules = {
         "no_null": F.col("chrom").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("ref").isNotNull() & F.col("alt").isNotNull(),
-        "coordinates": (F.col("start") >= 1) & (F.col("end") >= F.col("start")), "ref_alphabet": F.col("ref").rlike("^[ACGTN]+$"), "alt_alphabet": F.col("alt").rlike("^[ACGTN]+$"),
+        "coordinates": (F.col("start") >= 1) & (F.col("end") >= F.col("start")), "ref_alphabet": F.col("ref").rlike(r"^[ACGTN]+\z"), "alt_alphabet": F.col("alt").rlike(r"^[ACGTN]+\z"),
     }
     if "vaf" in df.columns:
         rules["vaf_range"] = F.col("vaf").isNull() | F.col("vaf").between(0, 1)

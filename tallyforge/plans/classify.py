@@ -295,7 +295,7 @@ def doc_trinuc_catalog(spark, sf):
     d = t(spark, sf, "documents").select("source", F.translate("text", _LETTERS, _AS_BASES).alias("s"))
     # three frames of non-overlapping triplets: one pass each, no position arithmetic on long strings
     frames = [d.select("source", F.explode(F.regexp_extract_all(F.substring("s", k, 1 << 30), F.lit("(?s)..."), F.lit(0))).alias("k")) for k in (1, 2, 3)]
-    m = frames[0].unionByName(frames[1]).unionByName(frames[2]).where(F.col("k").rlike("^[ACGT]{3}$"))
+    m = frames[0].unionByName(frames[1]).unionByName(frames[2]).where(F.col("k").rlike(r"^[ACGT]{3}\z"))
     folded = F.when(F.substring("k", 2, 1).isin("A", "G"), S.reverse_complement(F.col("k"))).otherwise(F.col("k"))
     return m.groupBy("source", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("source", folded.alias("channel")).agg(F.sum("n").alias("n"))
 
@@ -314,7 +314,7 @@ def indel_records(spark, sf):
     )
     j = o.join(sequences(spark, sf), "chrom").withColumn("anchor", F.substring("seq", F.col("pos").cast("int"), F.lit(1)))
     unit = F.when(F.col("how") == 2, F.substring("other", F.lit(1), F.col("n"))).otherwise(F.substring("seq", F.col("pos").cast("int") + 1, F.col("n")))
-    r = j.withColumn("unit", unit).where(F.concat("anchor", "unit").rlike("^[ACGT]+$") & (F.length("unit") == F.col("n")))
+    r = j.withColumn("unit", unit).where(F.concat("anchor", "unit").rlike(r"^[ACGT]+\z") & (F.length("unit") == F.col("n")))
     first = F.when(F.col("wrong"), F.translate("anchor", "ACGT", "CGTA")).otherwise(F.col("anchor"))
     long = F.concat(first, "unit")
     return r.select("sample", "chrom", "pos", F.when(F.col("how") == 0, long).otherwise(first).alias("ref"), F.when(F.col("how") == 0, first).otherwise(long).alias("alt"))

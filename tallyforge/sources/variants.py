@@ -34,7 +34,7 @@ def format_of(path: str, forced: str | None = None) -> tuple[str, bool]:
 def allele_reason(ref: Column, alt: Column) -> Column:
     return (
         F.when(alt.isNull() | alt.isin("", "."), "missing_alt").when(alt == "*", "spanning_star").when(alt.startswith("<") | alt.rlike(r"[\[\]]"), "symbolic_alt")
-        .when(~ref.rlike("^[ACGTN]+$"), "invalid_ref").when(~alt.rlike("^[ACGTN]+$"), "invalid_alt")
+        .when(~ref.rlike(r"^[ACGTN]+\z"), "invalid_ref").when(~alt.rlike(r"^[ACGTN]+\z"), "invalid_alt")
     )
 
 
@@ -58,7 +58,7 @@ def parse_table(rows: DataFrame, chrom: str = "chrom", pos: str = "pos", ref: st
     r, a = F.upper(F.col(ref)), F.upper(F.col(alt))
     start = F.expr(f"try_cast(`{pos}` as bigint)")
     last = F.coalesce(F.expr(f"try_cast(`{end}` as bigint)"), start + F.length(r) - 1) if end else start + F.length(r) - 1
-    reason = F.when(start.isNull(), "invalid_pos").when(~r.rlike("^[ACGTN]+$") | ~a.rlike("^[ACGTN]+$"), "unusable_allele").when(last - start + 1 != F.length(r), "length_mismatch")
+    reason = F.when(start.isNull(), "invalid_pos").when(~r.rlike(r"^[ACGTN]+\z") | ~a.rlike(r"^[ACGTN]+\z"), "unusable_allele").when(last - start + 1 != F.length(r), "length_mismatch")
     if kind:
         reason = F.when(F.col(kind).isin(*MAF_EXCLUDED), "classification").otherwise(reason)
     return rows.select(F.col(chrom).alias("chrom"), start.alias("start"), last.alias("end"), r.alias("ref"), a.alias("alt"), reason.alias("reason"))
