@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.model import EngineError
+from tallyforge.operators import numerics as N
+from tallyforge.operators import runs
 
 #: Columns by which a caller's table is known; the first caller that fits is taken.
 SIGNATURES = {
@@ -109,26 +116,48 @@ def breakpoint_gaps(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.withColumn("gap", F.greatest(F.col("pos") - F.lag("pos", 1, 0).over(w), F.lit(1)))
 
 
+def hot_segments(gap: np.ndarray, kmin: int = 10) -> list[tuple[int, int]]:
+    """(first, end) of the segments of at least `kmin` gaps whose mean is a tenth of all gaps'."""
+    y = np.log10(gap)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(y, 12), 25)
+    smooth = np.concatenate([np.median(windows[i : i + 65_536], axis=1) for i in range(0, len(y), 65_536)])
+    mad, mean, out, a = np.median(np.abs(y - smooth)), gap.mean(), [], 0
+    for e in N.piecewise(y, kmin, 25 * max(mad, 1e-9)):
+        if e - a >= kmin and 10 ** y[a:e].mean() * 10 <= mean:
+            out.append((a, e))
+        a = e
+    return out
+
+
 def clustered(points: DataFrame, keys: list[str], kmin: int = 10) -> DataFrame:
     """Adds hot: breakpoints in segments of at least `kmin` whose mean gap is a tenth of the group's.
-    A group is one sample's chromosome."""
-    import numpy as np
-    import pandas as pd
-
-    from tallyforge.operators import numerics as N
-
-    schema = T.StructType([*breakpoint_gaps(points, keys).schema.fields, T.StructField("hot", T.BooleanType())])
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "row"], kind="stable")
-        y = np.log10(pdf["gap"].to_numpy(float))
-        smooth = np.array([np.median(np.pad(y, 12)[i : i + 25]) for i in range(len(y))])
-        mad = np.median(np.abs(y - smooth)) if len(y) else 0.0
-        hot, a = np.zeros(len(y), bool), 0
-        for e in N.piecewise(y, kmin, 25 * max(mad, 1e-9)):
-            if e - a >= kmin and 10 ** y[a:e].mean() * 10 <= pdf["gap"].mean():
-                hot[a:e] = True
-            a = e
-        return pdf.assign(hot=hot)
-
-    return breakpoint_gaps(points, keys).groupBy(*keys).applyInPandas(work, schema)
+
+    A group is one sample's chromosome; a task reads its gaps in order and holds
+    those numbers alone.  The hot segments are joined to the breakpoints by
+    their places.
+    """
+    gaps = breakpoint_gaps(points, keys).withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "row")))
+    slim = runs.in_order(gaps.select(*keys, "__i", F.col("gap").cast("double").alias("gap")), keys, ["__i"])
+    names = [f.name for f in slim.schema.fields if f.name in keys]
+    schema = T.StructType([*[f for f in slim.schema.fields if f.name in keys], T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
+
+    def work(batches):
+        head, held = None, []
+
+        def found():
+            spans = hot_segments(np.concatenate(held), kmin) if held else []
+            if spans:
+                out = pd.concat([head] * len(spans), ignore_index=True)
+                yield out.assign(first=[a + 1 for a, _ in spans], end=[e for _, e in spans])
+
+        for begins, pdf in runs.pieces(batches, keys):
+            if begins:
+                yield from found()
+                head, held = pdf[names].iloc[:1], []
+            held.append(pdf["gap"].to_numpy(float))
+        yield from found()
+
+    spans = slim.mapInPandas(work, schema)
+    hot = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], F.explode(F.sequence("first", "end")).alias("__at"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__i") == F.col("__at"))
+    return gaps.join(hot, same, "left").withColumn("hot", F.col("__at").isNotNull()).drop("__i", "__at", *[f"__{k}" for k in keys])

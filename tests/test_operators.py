@@ -192,3 +192,18 @@ def test_graph_and_similarity(spark):
     p = spark.createDataFrame([("x", 0, 1.0), ("x", 1, 0.0), ("y", 0, 0.5), ("y", 1, 0.5)], "id string, channel int, value double")
     got = {(r.est, r.ref): r for r in similarity.pairwise(p, p).collect()}
     assert abs(got["x", "y"].cosine - 0.5**0.5) < 1e-12 and got["x", "x"].jsd == 0 and got["x", "y"].correlation is None
+
+
+def test_hot_breakpoints(spark):
+    """Clusters are found whole, in a group whose rows come in several batches, and in time linear in the group."""
+    import time
+
+    import numpy as np
+
+    gap = np.r_[np.full(300, 1000), np.full(20, 1), np.full(300, 1000), np.full(40, 2), np.full(300, 1000)]
+    rows = [(s, "c", int(p) + s, i) for s in (1, 2) for i, p in enumerate(np.cumsum(gap))]
+    got = segments.clustered(spark.createDataFrame(rows, "sample int, chrom string, pos long, row long"), ["sample", "chrom"])
+    assert got.columns == ["sample", "chrom", "pos", "row", "gap", "hot"] and got.count() == len(rows)
+    assert sorted(r.row for r in got.where("hot and sample = 2").collect()) == [*range(300, 320), *range(620, 660)]
+    began = time.time()
+    assert segments.hot_segments(np.r_[2000.0, np.ones(150_000)]) == [] and time.time() - began < 40
