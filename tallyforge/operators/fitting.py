@@ -1,9 +1,12 @@
-"""Exposure fitting over samples.  One task fits the samples of one group key;
-a sample's vector has as many entries as channels, and the dictionary is a
-channel x signature matrix, so both are bounded and the latter is broadcast."""
+"""Exposure fitting over samples.  A task reads samples in order and fits blocks
+of them together; a sample's vector has as many entries as channels, and the
+dictionary is a channel x signature matrix, so both are bounded and the latter is
+broadcast."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.model import EngineError
 from tallyforge.operators import numerics as N
+from tallyforge.operators import runs
 
 FIT = "sample string, signature string, exposure double, share double, active boolean, lrt_stat double, lrt_p double, se double"
 
@@ -25,28 +29,75 @@ def dictionary(signatures: DataFrame, channels: list[str]) -> tuple[list[str], n
     return list(wide.columns), w / np.maximum(w.sum(0), 1e-300)
 
 
-def fit_one(x: np.ndarray, w: np.ndarray, method: str = "nnls", size: float = 8.0, threshold: float = 0.01, rescale: bool = True, tests: bool = True, connected: tuple[tuple[int, ...], ...] = ()):
-    """(exposures, lrt rows, standard errors) of one sample."""
-    total = x.sum()
+def fit_rows(x: np.ndarray, w: np.ndarray, method: str = "nnls", size: float = 8.0, threshold: float = 0.01, rescale: bool = True, tests: bool = True, connected: tuple[tuple[int, ...], ...] = (), errors: bool = True):
+    """(exposures, statistics, p values, standard errors) of samples, the rows of `x`; all are samples x signatures."""
+    total = x.sum(1)
     if method == "nnls":
-        h = N.nnls(w.T @ w, w.T @ x)
+        h = N.nnls_rows(w.T @ w, N.crosses(x, w))
     elif method == "likelihood_bidirectional":
-        h = N.bidirectional(x, w)
+        h = N.bidirectional_rows(x, w)
     elif method == "lrt":
-        h = N.nb_mle(x, w, size)
+        h = N.nb_mle_rows(x, w, size, N.log_gammas(x, size))
     else:
         raise EngineError("argument", f"unknown method {method}")
-    lrt = N.lrt(x, w, size) if tests and total > 0 else [(np.nan, np.nan)] * w.shape[1]
+    stat, p = np.full(h.shape, np.nan), np.full(h.shape, np.nan)
+    if tests and (counted := np.flatnonzero(total > 0)).size:
+        stat[counted], p[counted] = N.lrt_rows(x[counted], w, size)
     for group in connected:  # a group of which one is present is present as a whole
-        if h[list(group)].any() and not h[list(group)].all():
-            at = np.flatnonzero((h > 0) | np.isin(np.arange(len(h)), group))
-            h = np.zeros(len(h))
-            h[at] = N.nnls(w[:, at].T @ w[:, at], w[:, at].T @ x)
-    if rescale and h.sum() > 0:
-        h = h * (total / h.sum())
-    share = h / h.sum() if h.sum() > 0 else h
-    h = np.where(share < threshold, 0.0, h)
-    return h, lrt, N.fisher_se(w, h)
+        part = np.flatnonzero(h[:, list(group)].any(1) & ~h[:, list(group)].all(1))
+        h[part] = N.nnls_rows(w.T @ w, N.times(x[part], w), (h[part] > 0) | np.isin(np.arange(h.shape[1]), group))
+    if rescale:
+        sums = h.sum(1)
+        h = h * np.divide(total, sums, out=np.ones(len(x)), where=sums > 0)[:, None]
+    h = np.where(_shares(h) < threshold, 0.0, h)
+    return h, stat, p, N.fisher_se_rows(w, h) if errors else np.full(h.shape, np.nan)
+
+
+def _shares(h: np.ndarray) -> np.ndarray:
+    sums = h.sum(1)[:, None]
+    return np.divide(h, sums, out=h.copy(), where=sums > 0)
+
+
+def fit_one(x: np.ndarray, w: np.ndarray, method: str = "nnls", **options):
+    """(exposures, lrt rows, standard errors) of one sample."""
+    h, stat, p, se = fit_rows(x[None], w, method, **options)
+    return h[0], list(zip(stat[0].tolist(), p[0].tolist())), se[0]
+
+
+#: Numbers that a block of samples takes at once.
+BLOCK = 1 << 20
+
+
+def _by_sample(catalog: DataFrame) -> DataFrame:
+    """(none, sample, channel, count) with a sample's rows one after another; `none` marks the null sample."""
+    name = F.col("sample").cast("string")
+    rows = catalog.select(name.isNull().alias("none"), F.coalesce(name, F.lit("None")).alias("sample"), "channel", F.col("count").cast("double").alias("count"))
+    return runs.in_order(rows, ["none", "sample"], [], int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _blocks(batches, at: dict[str, int], most: int):
+    """(samples, samples x channels) of at most `most` samples, from the rows of _by_sample()."""
+    held = None
+    for last in (False, True):
+        for pdf in batches if not last else [None]:
+            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            name, none = rows["sample"].to_numpy(object), rows["none"].to_numpy(bool)
+            first = np.r_[True, (name[1:] != name[:-1]) | (none[1:] != none[:-1])]
+            end = len(rows) if last else int(np.flatnonzero(first)[-1])  # the last sample may go on
+            held = rows.iloc[end:]
+            index = rows["channel"].iloc[:end].map(at)
+            if index.isna().any():
+                raise EngineError("fit", "dictionary and catalog have different channels")
+            index, count, place = index.to_numpy(int), rows["count"].to_numpy(float)[:end], np.cumsum(first[:end]) - 1
+            names = name[:end][first[:end]]
+            cuts = np.searchsorted(place, np.arange(0, len(names) + most, most))
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                x = np.zeros((min(most, len(names) - i * most), len(at)))
+                np.add.at(x, (place[a:b] - i * most, index[a:b]), count[a:b])
+                if len(x):
+                    yield names[i * most : i * most + len(x)], x
 
 
 def fit(catalog: DataFrame, signatures: DataFrame, channels: list[str], method: str = "nnls", **options) -> DataFrame:
@@ -54,15 +105,15 @@ def fit(catalog: DataFrame, signatures: DataFrame, channels: list[str], method:
     names, w = dictionary(signatures, channels)
     shared = catalog.sparkSession.sparkContext.broadcast((names, w, {c: i for i, c in enumerate(channels)}))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(batches):
         names, w, at = shared.value
-        x = np.zeros(len(at))
-        np.add.at(x, pdf["channel"].map(at).to_numpy(), pdf["count"].to_numpy(float))
-        h, lrt, se = fit_one(x, w, method, **options)
-        share = h / h.sum() if h.sum() > 0 else np.zeros(len(h))
-        return pd.DataFrame({"sample": str(pdf["sample"].iloc[0]), "signature": names, "exposure": h, "share": share, "active": h > 0, "lrt_stat": [a for a, _ in lrt], "lrt_p": [b for _, b in lrt], "se": se})
+        k = len(names)
+        for samples, x in _blocks(batches, at, max(1, BLOCK // (k * k + k * len(at)))):
+            h, stat, p, se = fit_rows(x, w, method, **options)
+            columns = {"exposure": h, "share": _shares(h), "active": h > 0, "lrt_stat": stat, "lrt_p": p, "se": se}
+            yield pd.DataFrame({"sample": np.repeat(samples, k), "signature": np.tile(np.array(names, object), len(x)), **{c: v.ravel() for c, v in columns.items()}})
 
-    out = catalog.groupBy("sample").applyInPandas(work, FIT)
+    out = _by_sample(catalog).mapInPandas(work, FIT)
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("sample", "signature", "exposure", "share", "active", clean("lrt_stat"), clean("lrt_p"), clean("se"))
 
@@ -71,34 +122,38 @@ def bootstrap(catalog: DataFrame, signatures: DataFrame, channels: list[str], n_
     """(sample, signature, exposure, lower, upper, stability, n_boot): resampled refits.
 
     Samples are the unit of work; a draw's numbers depend on seed, sample and
-    draw alone.  Intervals come from all draws of a sample in its own task.
+    draw alone.  Intervals come from all draws of a sample in its own task; the
+    draws of a block of samples are fitted together.
     """
     names, w = dictionary(signatures, channels)
     shared = catalog.sparkSession.sparkContext.broadcast((names, w, {c: i for i, c in enumerate(channels)}))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(batches):
         names, w, at = shared.value
-        sample = str(pdf["sample"].iloc[0])
-        x = np.zeros(len(at))
-        np.add.at(x, pdf["channel"].map(at).to_numpy(), pdf["count"].to_numpy(float))
-        point, _, _ = fit_one(x, w, method, tests=False)
-        key = int.from_bytes(__import__("hashlib").md5(sample.encode()).digest()[:8], "little")
-        draws = np.zeros((n_boot, len(names)))
-        total = int(x.sum())
-        for b in range(n_boot if total else 0):
-            r = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, key, b])))
-            draws[b], _, _ = fit_one(r.multinomial(total, x / x.sum()).astype(float), w, method, tests=False)
-        low, high = np.percentile(draws, 2.5, axis=0), np.percentile(draws, 97.5, axis=0)
-        if bca:
-            for j in range(len(names)):
-                d = draws[:, j] - draws[:, j].mean()
-                a = float((d**3).sum() / max(6 * ((d**2).sum()) ** 1.5, 1e-300))
-                lo, hi, plain = N.bca_levels(draws[:, j], point[j], a)
-                if not plain:
-                    low[j], high[j] = np.percentile(draws[:, j], [100 * lo, 100 * hi])
-        return pd.DataFrame({"sample": sample, "signature": names, "exposure": point, "lower": low, "upper": high, "stability": (draws > 0).mean(0), "n_boot": n_boot})
-
-    return catalog.groupBy("sample").applyInPandas(work, "sample string, signature string, exposure double, lower double, upper double, stability double, n_boot long")
+        k = len(names)
+        for samples, x in _blocks(batches, at, max(1, BLOCK // (k * k + k * len(at)) // n_boot)):
+            point = fit_rows(x, w, method, tests=False, errors=False)[0]
+            drawn = np.zeros((len(x), n_boot, len(at)))
+            for i, sample in enumerate(samples):
+                key, total = int.from_bytes(hashlib.md5(sample.encode()).digest()[:8], "little"), int(x[i].sum())
+                share = x[i] / x[i].sum() if total else None
+                for b in range(n_boot if total else 0):
+                    r = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, key, b])))
+                    drawn[i, b] = r.multinomial(total, share)
+            draws = fit_rows(drawn.reshape(-1, len(at)), w, method, tests=False, errors=False)[0].reshape(len(x), n_boot, k)
+            draws[x.sum(1).astype(int) == 0] = 0.0
+            low, high = np.percentile(draws, 2.5, axis=1), np.percentile(draws, 97.5, axis=1)
+            if bca:
+                d = draws - draws.mean(1, keepdims=True)
+                a = (d**3).sum(1) / np.maximum(6 * (d**2).sum(1) ** 1.5, 1e-300)
+                for i, j in np.ndindex(*point.shape):
+                    lo, hi, plain = N.bca_levels(draws[i, :, j], point[i, j], float(a[i, j]))
+                    if not plain:
+                        low[i, j], high[i, j] = np.percentile(draws[i, :, j], [100 * lo, 100 * hi])
+            columns = {"exposure": point, "lower": low, "upper": high, "stability": (draws > 0).mean(1)}
+            yield pd.DataFrame({"sample": np.repeat(samples, k), "signature": np.tile(np.array(names, object), len(x)), **{c: v.ravel() for c, v in columns.items()}, "n_boot": n_boot})
+
+    return _by_sample(catalog).mapInPandas(work, "sample string, signature string, exposure double, lower double, upper double, stability double, n_boot long")
 
 
 def presence(fits: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """`rows` with each group in one partition, sorted by `order` with nulls last."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order])
+def in_order(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """`rows` with each group in one partition, sorted by `order` with nulls last; `parts` is for groups that take long, which would be put together by their bytes."""
+    return rows.repartition(*([parts] if parts else []), *keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order])
 
 
 def pieces(batches, keys: list[str]):

@@ -128,3 +128,28 @@ def test_bca():
     low, high, plain = N.bca_levels(d, 0.0, 0.0)
     assert not plain and abs(low - 0.025) < 0.02 and abs(high - 0.975) < 0.02
     assert N.bca_levels(d, 10.0, 0.0)[2]
+
+
+def test_rows_are_the_kernels():
+    """Samples fitted together have the numbers that each has alone, whatever stands beside it."""
+    r = np.random.default_rng(9)
+    w = r.random((12, 4)) ** 2
+    w /= w.sum(0)
+    x = r.poisson(np.where(r.random((40, 4)) < 0.5, 0, r.random((40, 4)) * 200) @ w.T).astype(float)
+    assert np.allclose(N.nnls_rows(w.T @ w, N.crosses(x, w)), [N.nnls(w.T @ w, w.T @ v) for v in x])
+    assert np.allclose(N.bidirectional_rows(x, w), [N.bidirectional(v, w) for v in x])
+    stat, p = N.lrt_rows(x, w, 8.0)
+    one = np.array([N.lrt(v, w, 8.0) for v in x])
+    assert np.allclose(stat, one[:, :, 0], atol=1e-4) and np.allclose(p, one[:, :, 1], atol=1e-4)
+    assert (N.lrt_rows(x[5:9], w, 8.0)[0] == stat[5:9]).all()
+
+
+def test_presence_of_many():
+    """The tails of 100,000 samples, in time linear in them; the mean statistic is a half."""
+    import time
+
+    began = time.time()
+    assert 0.49 < N.pooled_presence(50_000.0, 100_000) < 0.51 and N.pooled_presence(53_000.0, 100_000) < 1e-6
+    assert time.time() - began < 20
+    direct = sum(math.comb(30, m) / 2**30 * (N.chi2_upper(20.0, m) if m else 0.0) for m in range(31))
+    assert abs(N.pooled_presence(20.0, 30) - direct) < 1e-12
