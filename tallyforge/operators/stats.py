@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_sum(value: str) -> Column:
+    """The sum of doubles of up to 12 decimals without rounding on the way, so that equal sums are equal
+    in whatever order their rows come; others are added as doubles."""
+    d = F.col(value).try_cast("decimal(38,12)")
+    plain = F.count_if(F.col(value).isNotNull() & ~F.coalesce(d.cast("double") == F.col(value), F.lit(False))) == 0
+    return F.coalesce(F.when(plain, F.try_sum(d).cast("double")), F.sum(value))
+
+
 def bh_adjusted(rows: DataFrame, keys: list[str], p: str = "p", order: str = "id") -> DataFrame:
     """Adds q: the step-up adjusted p value within each family; null p values have a null q and don't count.
 

@@ -385,7 +385,7 @@ def treatment_contrast(spark, sf):
 
 @query("artifact_topn", "WITH e AS (SELECT user_id AS sample, event_type AS channel, sum(value) AS v FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY v DESC, channel) AS i, count(*) OVER (PARTITION BY sample) AS n FROM e) SELECT sample, string_agg(channel, ',' ORDER BY i) FILTER (i <= 3) AS top, CAST(greatest(max(n) - 3, 0) AS BIGINT) AS more FROM r GROUP BY 1")
 def artifact_topn(spark, sf):
-    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("channel")).agg(F.sum("value").alias("v"))
+    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("channel")).agg(stats.exact_sum("value").alias("v"))
     r = e.withColumn("i", F.row_number().over(Window.partitionBy("sample").orderBy(F.col("v").desc(), "channel"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sample")))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= 3, F.struct("i", "channel")))), lambda x: x["channel"]), ",")
     return r.groupBy("sample").agg(names.alias("top"), F.greatest(F.max("n") - 3, F.lit(0)).alias("more"))

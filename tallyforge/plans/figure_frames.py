@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import figures
+from tallyforge.operators import figures, stats
 from tallyforge.plans.classify import t
 
 Q: dict = {}
@@ -35,7 +35,7 @@ def counts(spark, sf):
 
 
 def exposures(spark, sf):
-    return events(spark, sf).groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("signature")).agg(F.sum("value").alias("value"))
+    return events(spark, sf).groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("signature")).agg(stats.exact_sum("value").alias("value"))
 
 
 def draws(spark, sf):

@@ -72,3 +72,13 @@ def test_artifact_share_flags(spark):
     share = spark.createDataFrame([("a", 0.2)], "sample string, artifact_share double")
     assert {r.sample: r.flag for r in reports.qc_report(c, "%C>A%", "%C>T%", share).collect()} == {"a": "artifact", "b": "ok"}
     assert figures.dashboard(reports.qc_report(c, "%C>A%", "%C>T%")).where(F.col("metric") == "log10_total").count() == 2
+
+
+def test_equal_sums_are_tied(spark, tmp_path):
+    """0.1 + 0.2 and 0.3 are one sum: names decide, in whatever order rows are added."""
+    from tallyforge.plans import analyse, figure_frames
+
+    rows = [(1, "view", 0.1), (1, "view", 0.2), (1, "click", 0.3), (1, "error", 0.05)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.top for r in analyse.Q["artifact_topn"](spark, str(tmp_path)).collect()] == ["click,view,error"]
+    assert [r.label for r in figure_frames.Q["fig_pseudosig_contribution"](spark, str(tmp_path)).collect()] == ["click;view +1"]
